@@ -187,5 +187,9 @@ def combinations(spark, levels: Sequence[Sequence[float]], names: Sequence[str]
 
 
 def ratio_levels(centre: float, div: int, low: float, high: float) -> list[float]:
-    """``div`` steps down and up from a centre by equal shares of it, those outside the bounds left out."""
-    return [x for i in range(-div, div + 1) if low <= (x := centre * (1 + i / (div + 1))) <= high]
+    """``div`` even steps below and above a centre, together as long as its way to the nearer end of the
+    range (the centre itself, halfway); levels outside the bounds are left out."""
+    half = (high - low) / 2
+    reach = high - centre if centre > half else centre - low if centre < half else centre
+    levels = (centre + reach * i / (2 * div) for i in range(-div, div + 1))
+    return [x for x in levels if low <= x <= high]

@@ -96,6 +96,11 @@ def parse(name: str, spec: dict | str) -> Table:
     return Table(name, tuple(fields), time, time or marked, tuple(unique))
 
 
+def _unary(f):
+    """``f`` as a function of one argument, whatever defaults it has."""
+    return lambda c: f(c)
+
+
 def same_layout(a: Table, b: Table) -> bool:
     return a.fields == b.fields
 
@@ -123,7 +128,7 @@ def convert(df: DataFrame, source: Table, target: Table, fill: bool = True) -> D
 
             c = F.col(s.name)
             if s.count > 1 and f.count > 1:
-                value = F.slice(F.transform(c, one), 1, min(s.count, f.count)) if one(F.lit(0)) is not None else None
+                value = F.slice(F.transform(c, _unary(one)), 1, min(s.count, f.count)) if one(F.lit(0)) is not None else None
             elif s.count > 1:
                 value = one(c[0])
             elif f.count > 1:
