@@ -111,7 +111,7 @@ def _segments(docs: list[tuple[int, bytes]], length: int) -> pa.RecordBatch:
     import xxhash
 
     docs = sorted((d for d in docs if len(d[1]) >= length), key=lambda d: d[0])
-    hs, ss, ids, starts, counts, seen = [], [], [], [], [], set()
+    hs, ss, ids, starts, counts, seen = [], [], [], [], [], {}
     digest = xxhash.xxh64_intdigest
     at = 0
     while at < len(docs):
@@ -135,10 +135,10 @@ def _segments(docs: list[tuple[int, bytes]], length: int) -> pa.RecordBatch:
         ok = stop > first
         first, stop, which = first[ok], stop[ok], which[ok]
         local = []
-        for a, b, h in zip(first.tolist(), (stop + (length - 1)).tolist(), keys[first].tolist(), strict=True):
-            s = digest(text[a:b])
-            local.append(None if (h, s) in seen else s - (1 << 63))
-            seen.add((h, s))
+        names = [d for d, _ in block]
+        for a, b, h, w, begin in zip(first.tolist(), (stop + (length - 1)).tolist(), keys[first].tolist(), which.tolist(), begins[which].tolist(), strict=True):
+            s, place = digest(text[a:b]), (names[w], a - begin)
+            local.append(None if seen.setdefault((h, s), place) != place else s - (1 << 63))
         known = np.array([x is None for x in local], dtype=bool)
         joined = np.zeros(len(first), dtype=bool)  # neighbours that are all known to repeat make one row
         joined[1:] = known[1:] & known[:-1] & (first[1:] == stop[:-1]) & (which[1:] == which[:-1])
@@ -147,7 +147,7 @@ def _segments(docs: list[tuple[int, bytes]], length: int) -> pa.RecordBatch:
             ends_of = np.append(heads[1:], len(first)) - 1
             ss += [local[i] for i in heads.tolist()]
             hs.append(keys[first[heads]].view(np.int64))
-            ids.append(np.array([d for d, _ in block], dtype=np.int64)[which[heads]])
+            ids.append(np.array(names, dtype=np.int64)[which[heads]])
             starts.append(first[heads] - begins[which[heads]])
             counts.append((stop[ends_of] - first[heads]).astype(np.int32))
     join = lambda x, t: np.concatenate(x) if x else np.zeros(0, t)
@@ -212,8 +212,8 @@ def _settle(rows: list[tuple], length: int) -> pa.RecordBatch:
     by = np.lexsort((start, ids, key[at]))
     k, i, s = key[at][by], ids[by], start[by]
     again = np.zeros(len(at), dtype=bool)
-    same = k[1:] == k[:-1]
-    again[by[1:]] = same & ((i[1:] != i[:-1]) | (s[1:] != s[:-1]))
+    head = np.maximum.accumulate(np.where(np.concatenate([[True], k[1:] != k[:-1]]), np.arange(len(k)), 0))
+    again[by] = (i != i[head]) | (s != s[head])  # a repeated row has the same place, which isn't earlier
     edge = np.flatnonzero(np.diff(np.concatenate([[0], again.astype(np.int8), [0]])))
     runs, out = edge.reshape(-1, 2), []
     for a, b in runs.tolist():
@@ -261,9 +261,9 @@ def repeated_windows(docs: DataFrame, length: int = 100) -> DataFrame:
     dealt = segments.select(*key)
     by = Window.partitionBy("h", "known").orderBy("s", "doc_id", "start")
     whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    told = dealt.select(
-        "*", (F.col("known") | F.coalesce(F.lag("s").over(by) == F.col("s"), F.lit(False))).alias("repeats"), (F.min("s").over(whole) != F.max("s").over(whole)).alias("mixed"), F.count("*").over(whole).alias("rows")
-    )
+    place = F.struct("doc_id", "start")
+    later = F.min(place).over(Window.partitionBy("h", "known", "s")) != place
+    told = dealt.select("*", (F.min("s").over(whole) != F.max("s").over(whole)).alias("mixed"), F.count("*").over(whole).alias("rows")).withColumn("repeats", F.col("known") | later)
     told = materialise(told.where("repeats or mixed").drop("known", "s", "mixed"), "repeats")
     open_ones = told.where("not repeats").withColumn("salts", F.ceil(F.col("rows") / KEY_SEGMENTS).cast("int"))
     open_ones = open_ones.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.col("salts")).cast("int")).withColumn("split", F.col("salts") > 1)
@@ -272,7 +272,7 @@ def repeated_windows(docs: DataFrame, length: int = 100) -> DataFrame:
     found = bytes_of.repartition("h", "salt").sortWithinPartitions("h", "salt").mapInArrow(_settle_groups(length), "doc_id long, start long, n int, hash binary")
     alone = F.concat(F.lit("-"), F.col("doc_id").cast("string"), F.lit("-"), F.col("start").cast("string")).cast("binary")
     first = Window.partitionBy(F.coalesce("hash", alone)).orderBy("doc_id", "start")
-    found = found.withColumn("nth", F.row_number().over(first)).where("hash is null or nth > 1")
+    found = found.withColumn("nth", F.rank().over(first)).where("hash is null or nth > 1")
     spans = told.where("repeats").select("doc_id", "start", "n").union(found.select("doc_id", "start", "n"))
     return spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
 
@@ -312,11 +312,16 @@ def remove_repeats(docs: DataFrame, length: int = 100, as_text: bool = False) ->
 
     Every byte under a window of ``length`` bytes that also starts earlier, in a smaller doc_id or earlier
     in the same document, goes; windows are judged on the input.  Null texts are empty.  Rows with a null
-    doc_id have no place in the order: they stay whole and take part in nothing.  Rows that share a doc_id
-    count as one document; what is found for it is cut from each of them.
+    doc_id, or one that they share with another text, have no place in the order: they stay whole and take
+    part in nothing.  Repeated rows are one document, and each has its result.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("bytes"))
-    placed = rows.where("doc_id is not null")
+    named = rows.where("doc_id is not null")
+    text_hash = F.xxhash64("bytes")
+    clash = named.groupBy("doc_id").agg((F.min(text_hash) != F.max(text_hash)).alias("clash")).where("clash").select("doc_id")
+    clash = materialise(clash, "clashing-ids")
+    placed = named.join(clash, "doc_id", "left_anti")
+    apart = named.join(clash, "doc_id", "left_semi").union(rows.where("doc_id is null"))
     joined = placed.join(repeated_windows(placed, length), "doc_id", "left").select("doc_id", "bytes", "spans")
-    joined = joined.union(rows.where("doc_id is null").select("doc_id", "bytes", F.lit(None).cast("array<struct<start: long, n: int>>")))
+    joined = joined.union(apart.select("doc_id", "bytes", F.lit(None).cast("array<struct<start: long, n: int>>")))
     return joined.mapInArrow(_clean(length, as_text), f"doc_id long, bytes binary, kept {'string' if as_text else 'binary'}, removed array<struct<start: long, stop: long>>")
