@@ -102,7 +102,7 @@ def test_large_buckets_link_like_small_ones(spark):
     centre = rng.getrandbits(64)
     fps = {centre ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)) ^ (rng.choice([0, 0, 1]) << rng.randrange(64)) for _ in range(120)}
     rows = [(simhash._signed(f), i) for i, f in enumerate(sorted(fps))]
-    classes = spark.createDataFrame(rows, "fp long, rep long")
+    classes = spark.createDataFrame([(0, *r) for r in rows], "nth int, fp long, rep long")
     expected = _components([i for _, i in rows], lambda a, b: bin((rows[a][0] ^ rows[b][0]) & (2**64 - 1)).count("1") <= 2)
     for bucket in (1, 4, 1000):
         found = {r.node: r.root for r in connected_components(simhash.hamming_edges(classes, bucket=bucket)).collect()}

@@ -20,6 +20,9 @@ from tidemark.llm.common import connected_components, materialise
 BITS = 64
 #: A table's bucket with more distinct fingerprints than this is linked through one-bit neighbours.
 BUCKET = 32
+#: Fingerprints per text where links are verified afterwards; each finds a fifth of the pairs at similarity
+#: 0.8 and more of those above.
+PRINTS = 12
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -32,44 +35,56 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def fingerprint(text: bytes | None, words: int, seed: int = 42, distinct: bool = False) -> int:
-    """The 64-bit SimHash of a text's word shingles: A-Z lower-cased, words cut at ASCII white space,
-    XXH64 per shingle; a bit is set if it is set in over half of the shingles.  No words: 0."""
+def _mixed(h: np.ndarray, nth: int) -> np.ndarray:
+    """Further hashes from one: the hash itself, then finalised sums with odd constants."""
+    if nth:
+        h = h + np.uint64(nth * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h = h ^ (h >> np.uint64(31))
+    return h
+
+
+def fingerprint(text: bytes | None, words: int, prints: int = 1, seed: int = 42, distinct: bool = False) -> list[int]:
+    """``prints`` independent 64-bit SimHashes of a text's word shingles: A-Z lower-cased, words cut at
+    ASCII white space, XXH64 per shingle (mixed anew for those after the first); a bit is set if it is set
+    in over half of the shingles.  No words: 0."""
     import xxhash
 
     found = (text or b"").lower().split()
     if not found:
-        return 0
+        return [0] * prints
     if len(found) > words > 1:
         found = [b" ".join(x) for x in zip(*(found[i:] for i in range(words)), strict=False)]
     elif words > 1:
         found = [b" ".join(found)]
     if distinct:
         found = list(set(found))
-    counts, digest = np.zeros(BITS, dtype=np.int64), xxhash.xxh64_intdigest
+    counts, digest = np.zeros((prints, BITS), dtype=np.int64), xxhash.xxh64_intdigest
     for at in range(0, len(found), 4096):
         part = found[at : at + 4096]
         h = np.fromiter([digest(s, seed) for s in part], dtype="<u8", count=len(part))
-        counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(found), bitorder="little").tobytes(), "little")
+        for i in range(prints):
+            counts[i] += np.unpackbits(_mixed(h, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * counts > len(found), axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
-def fingerprints(docs: DataFrame, words: int = 3, seeds: tuple[int, ...] = (42,), distinct: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, fp0, fp1, ...): one signed 64-bit fingerprint for each seed, from the whole text."""
+def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1, seed: int = 42, distinct: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, extra..., fps): an array of signed 64-bit fingerprints of the whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [x.as_py() for x in b.column(b.num_columns - 1)]
-            cols = [pa.array([_signed(fingerprint(t, words, s, distinct)) for t in texts], pa.int64()) for s in seeds]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*b.schema.names[:-1], *(f"fp{i}" for i in range(len(seeds)))])
+            fps = [[_signed(f) for f in fingerprint(t.as_py(), words, prints, seed, distinct)] for t in b.column(b.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(fps, pa.list_(pa.int64()))], names=[*b.schema.names[:-1], "fps"])
 
     source = docs.select("doc_id", *extra, F.col("text").cast("binary").alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, kept + "".join(f", fp{i} long" for i in range(len(seeds))))
+    return source.mapInArrow(run, kept + ", fps array<long>")
 
 
 def hamming_edges(classes: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
-    """(a, b): links between the ``rep`` of distinct ``fp`` values that differ in at most ``radius`` bits.
+    """(a, b): links between the ``rep`` of distinct ``fp`` values that differ in at most ``radius`` bits,
+    among those with an equal ``nth``.
 
     Small buckets compare their members pair by pair.  In a larger one (radius 2 only) every fingerprint
     is listed under itself and its one-bit changes outside the key; two of them share such a value
@@ -80,21 +95,21 @@ def hamming_edges(classes: DataFrame, radius: int = 2, bucket: int = BUCKET) ->
         raise ValueError("the linking of large buckets holds for a radius of 2")
     masks = covering_masks(radius)
     keys = classes.select(
-        "fp", "rep", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("k")) for t, m in enumerate(masks)])).alias("x")
-    ).select("fp", "rep", "x.t", "x.k")
-    sizes = keys.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1")
-    met = materialise(keys.join(sizes, ["t", "k"]), "simhash-buckets")
+        "nth", "fp", "rep", F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m)).cast("long")).alias("k")) for t, m in enumerate(masks)])).alias("x")
+    ).select("nth", "fp", "rep", "x.t", "x.k")
+    sizes = keys.groupBy("nth", "t", "k").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialise(keys.join(sizes, ["nth", "t", "k"]), "simhash-buckets")
     small = met.where(F.col("n") <= bucket)
     x, y = small.alias("x"), small.alias("y")
     near = F.bit_count(F.col("x.fp").bitwiseXOR(F.col("y.fp"))) <= radius
-    pairs = x.join(y, (F.col("x.t") == F.col("y.t")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.rep") < F.col("y.rep")) & near)
+    pairs = x.join(y, (F.col("x.nth") == F.col("y.nth")) & (F.col("x.t") == F.col("y.t")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.rep") < F.col("y.rep")) & near)
     pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
     mask_of = F.element_at(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]), F.col("t") + 1)
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)).cast("long") for i in range(BITS)])
-    large = met.where(F.col("n") > bucket).select("fp", "rep", F.explode(F.filter(flips, lambda f: f.bitwiseAND(mask_of) == 0)).alias("f"))
-    large = large.select(F.col("fp").bitwiseXOR(F.col("f")).alias("z"), "rep").distinct()
-    centres = large.groupBy("z").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
-    stars = large.join(centres, "z").where("rep != a").select("a", F.col("rep").alias("b"))
+    large = met.where(F.col("n") > bucket).select("nth", "fp", "rep", F.explode(F.filter(flips, lambda f: f.bitwiseAND(mask_of) == 0)).alias("f"))
+    large = large.select("nth", F.col("fp").bitwiseXOR(F.col("f")).alias("z"), "rep").distinct()
+    centres = large.groupBy("nth", "z").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
+    stars = large.join(centres, ["nth", "z"]).where("rep != a").select("a", F.col("rep").alias("b"))
     return pairs.union(stars).distinct()
 
 
@@ -104,8 +119,9 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: i
     Null and blank texts have fingerprint 0 and are linked like any other.  Rows with a null doc_id keep
     a fingerprint and join the component of equal fingerprints.  Repeated rows give repeated results.
     """
-    fps = materialise(fingerprints(docs, words, (seed,)).withColumnRenamed("fp0", "fp"), "simhash")
-    classes = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "simhash-classes")
+    fps = materialise(fingerprints(docs, words, seed=seed).select("doc_id", F.col("fps")[0].alias("fp")), "simhash")
+    classes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).where("rep is not null").withColumn("nth", F.lit(0))
+    classes = materialise(classes, "simhash-classes")
     roots = connected_components(hamming_edges(classes, radius))
     named = classes.join(roots, classes.rep == roots.node, "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
     return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -133,24 +149,21 @@ def shingle_similarity(pairs: DataFrame, docs: DataFrame, words: int = 5) -> Dat
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
 
 
-def near_duplicates(docs: DataFrame, seeds: tuple[int, ...] = (42, 43, 44, 45), words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, prints: int = PRINTS, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every distinct doc_id: documents joined by links of at least ``similarity``.
 
     Candidates agree to two bits in one of several SimHash fingerprints of their distinct words (which
     stay closer than those of long shingles); each link is then verified on the exact sets of ``words``-word
     shingles.  Equal texts are one class and are always linked.  Texts without words are alike.
     """
-    fps = materialise(fingerprints(docs.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)), 1, seeds, True, ("sha",)), "near")
-    names = [f"fp{i}" for i in range(len(seeds))]
-    texts = fps.groupBy("sha").agg(F.min("doc_id").alias("rep"), *[F.first(n).alias(n) for n in names]).where("rep is not null")
+    fps = materialise(fingerprints(docs.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)), 1, prints, distinct=True, extra=("sha",)), "near")
+    texts = fps.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")).where("rep is not null")
     texts = materialise(texts, "near-texts")
-    edges = None
-    for n in names:
-        classes = texts.groupBy(F.col(n).alias("fp")).agg(F.min("rep").alias("rep"))
-        first = classes.select(F.col("fp").alias(n), F.col("rep").alias("a"))
-        same = texts.join(first, n).where("a != rep").select("a", F.col("rep").alias("b"))
-        some = hamming_edges(classes).union(same)
-        edges = some if edges is None else edges.union(some)
+    every = texts.select("rep", F.posexplode("fps").alias("nth", "fp"))
+    classes = materialise(every.groupBy("nth", "fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "near-classes")
+    shared = classes.where("n > 1").select("nth", "fp", F.col("rep").alias("a"))
+    same = every.join(shared, ["nth", "fp"]).where("a != rep").select("a", F.col("rep").alias("b"))
+    edges = hamming_edges(classes.drop("n")).union(same)
     edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
     linked = shingle_similarity(edges, docs, words).where(F.col("similarity") >= similarity).select("a", "b")
     roots = connected_components(linked)
