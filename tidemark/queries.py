@@ -134,14 +134,15 @@ def a22_keyed_document(spark, d):
 
 @query("""WITH b AS (SELECT o_orderkey, o_custkey, o_totalprice, 0 AS seq FROM orders UNION ALL
           SELECT o_orderkey, o_custkey, o_totalprice + 1, 1 FROM orders WHERE o_orderkey % 5 = 0 UNION ALL
-          SELECT -o_orderkey, o_custkey, o_totalprice, 1 FROM orders WHERE o_orderkey % 7 = 0)
+          SELECT -o_orderkey, o_custkey, o_totalprice, 2 FROM orders WHERE o_orderkey % 7 = 0)
           SELECT o_orderkey, o_custkey, round(arg_max(o_totalprice, seq), 4) AS o_totalprice FROM b GROUP BY 1, 2""")
 def a23_upsert_batch(spark, d):
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     old = o.withColumn("seq", F.lit(0))
     again = o.where("o_orderkey % 5 = 0").withColumn("o_totalprice", F.col("o_totalprice") + 1)
     fresh = o.where("o_orderkey % 7 = 0").withColumn("o_orderkey", -F.col("o_orderkey"))
-    out = write.upsert(old, again.union(fresh).withColumn("seq", F.lit(1)), ["o_orderkey", "o_custkey"], "seq")
+    new = again.withColumn("seq", F.lit(1)).union(fresh.withColumn("seq", F.lit(2)))  # the key 0 is in both
+    out = write.upsert(old, new, ["o_orderkey", "o_custkey"], "seq")
     return out.select("o_orderkey", "o_custkey", r("o_totalprice", 4).alias("o_totalprice"))
 
 
