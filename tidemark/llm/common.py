@@ -61,15 +61,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
     Alternates the large-star and small-star steps, each a partial-aggregated minimum per node and one
     equi-join, so no neighbourhood is gathered in one task; rounds grow with the logarithm of the
-    longest path.  Each round's edges are a written table.  Self-links and nulls give no edge; an empty
-    input gives an empty result.
+    longest path.  Each round's edges and minima are written tables: a join of two tables is one whose
+    large partitions Spark can split, so a node with very many links is not one task's either.
+    Self-links and nulls give no edge; an empty input gives an empty result.
     """
-    now = materialise(_small_star(_oriented(edges)), "cc")
+    now = _small_star(materialise(_oriented(edges), "cc"))
     before = _state(now)
     for _ in range(max_rounds):
-        step = _small_star(_large_star(now))
-        new = materialise(step, "cc")
-        forget(now)
+        new = _small_star(_large_star(now))
         now, after = new, _state(new)
         if after == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
@@ -87,12 +86,20 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _large_star(e: DataFrame) -> DataFrame:
+    """Every node's larger neighbours are linked to the smallest of its neighbours and itself; ``e`` goes."""
     both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = materialise(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "cc-least")
+    out = materialise(both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")), "cc")
+    forget(e)
+    forget(least)
+    return out
 
 
 def _small_star(e: DataFrame) -> DataFrame:
-    least = e.groupBy("a").agg(F.min("b").alias("m"))
+    """Every node and its smaller neighbours are linked to the smallest of them; ``e`` goes."""
+    least = materialise(e.groupBy("a").agg(F.min("b").alias("m")), "cc-least")
     linked = e.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return linked.union(least.select("a", F.col("m").alias("b"))).distinct()
+    out = materialise(linked.union(least.select("a", F.col("m").alias("b"))).distinct(), "cc")
+    forget(e)
+    forget(least)
+    return out
