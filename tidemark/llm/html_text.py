@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import materialise
+
 #: Pages with different articles on which a subtree must occur to be a template of the host.
 TEMPLATE_PAGES = 8
 
@@ -239,6 +241,7 @@ def extract(pages: DataFrame, template_pages: int = TEMPLATE_PAGES) -> DataFrame
 
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1), F.lit("")))
     found = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), "html").mapInArrow(find, "page_id long, host string, article long, subtree long")
+    found = materialise(found, "subtrees")  # both uses below read hashes, and no page is parsed for each
     articles = found.select("host", "subtree", "article").distinct()
     templates = articles.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= template_pages).select("host", "subtree")
     of_page = found.join(templates, ["host", "subtree"], "left_semi").groupBy("page_id").agg(F.collect_set("subtree").alias("templates"))
