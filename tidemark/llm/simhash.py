@@ -18,11 +18,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import connected_components, materialise
 
 BITS = 64
-#: A table's bucket with more distinct fingerprints than this is linked through one-bit neighbours.
-BUCKET = 32
-#: Fingerprints per text where links are verified afterwards; each finds a fifth of the pairs at similarity
-#: 0.8 and more of those above.
-PRINTS = 12
+#: A table's bucket with more distinct fingerprints than this is linked through one-bit neighbours; up to
+#: it, comparing a fingerprint with its bucket costs no more than listing its one-bit changes.
+BUCKET = BITS
+#: Fingerprints per text where links are verified afterwards; each finds about a seventh of the pairs at
+#: similarity 0.8 to 0.85, and more of closer ones.
+PRINTS = 20
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -107,7 +108,7 @@ def hamming_edges(classes: DataFrame, radius: int = 2, bucket: int = BUCKET) ->
     mask_of = F.element_at(F.array(*[F.lit(_signed(m)).cast("long") for m in masks]), F.col("t") + 1)
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << i)).cast("long") for i in range(BITS)])
     large = met.where(F.col("n") > bucket).select("nth", "fp", "rep", F.explode(F.filter(flips, lambda f: f.bitwiseAND(mask_of) == 0)).alias("f"))
-    large = large.select("nth", F.col("fp").bitwiseXOR(F.col("f")).alias("z"), "rep").distinct()
+    large = materialise(large.select("nth", F.col("fp").bitwiseXOR(F.col("f")).alias("z"), "rep").distinct(), "simhash-changes")
     centres = large.groupBy("nth", "z").agg(F.min("rep").alias("a"), F.count("*").alias("n")).where("n > 1")
     stars = large.join(centres, ["nth", "z"]).where("rep != a").select("a", F.col("rep").alias("b"))
     return pairs.union(stars).distinct()
