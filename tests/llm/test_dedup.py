@@ -124,6 +124,24 @@ def test_near_duplicates_are_verified(spark):
     assert simhash.simhash_components(_docs(spark, [])).count() == 0
 
 
+def _similar(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def test_near_duplicates_find_appended_and_truncated_copies(spark):
+    rng, rows = random.Random(19), []
+    for i in range(60):
+        words = [f"w{int(rng.paretovariate(0.6)) % 50000}" for _ in range(rng.choice([80, 200, 600]))]
+        n, share = len(words), rng.choice([0.82, 0.86, 0.92])
+        other = words[: int(n * share)] if i % 2 else words + [f"w{int(rng.paretovariate(0.6)) % 50000}" for _ in range(int(n / share - n))]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    texts = dict(rows)
+    expected = _components(list(texts), lambda a, b: _similar(texts[a], texts[b]))
+    assert sum(d != c for d, c in expected.items()) >= 55
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(_docs(spark, rows)).collect()} == expected
+
+
 def _remove(rows, length):
     seen, out = set(), {}
     for d, t in sorted(rows, key=lambda x: x[0]):

@@ -1,29 +1,33 @@
-"""SimHash near-duplicates by covering locality-sensitive hashing.
+"""SimHash near-duplicates by covering locality-sensitive hashing, and near-duplicates by exact similarity.
 
 Every fingerprint bit i gets one of the 2^(r+1)-1 non-zero vectors m(i) of r+1 bits.  Table v (each
 non-zero vector again) keeps the bits with an odd inner product <v, m(i)>.  For any r or fewer differing
 bits some v is orthogonal to all their m(i), so that table's key ignores them: each pair within radius r
 meets in at least one table, with no chance involved.
+
+Where the link is the Jaccard index of shingle sets, candidates come from a prefix filter: with all shingles
+in one global order, two sets of similarity s share one of their first n - ceil(s n) + 1 shingles, whatever
+the order and the edit.  Frequent shingles are put last, so that prefixes hold what few documents share.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, materialise
+from tidemark.llm.common import connected_components, forget, materialise
 
 BITS = 64
 #: A table's bucket with more distinct fingerprints than this is linked through one-bit neighbours; up to
 #: it, comparing a fingerprint with its bucket costs no more than listing its one-bit changes.
 BUCKET = BITS
-#: Fingerprints per text where links are verified afterwards; each finds about a seventh of the pairs at
-#: similarity 0.8 to 0.85, and more of closer ones.
-PRINTS = 20
+#: The order of shingles (and nothing else) rests on this many of the most frequent ones, counted in one of
+#: so many texts.
+FREQUENT, COUNTED = 1 << 16, 16
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -128,18 +132,34 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: i
     return fps.join(named, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh64_intdigest(word, 0)
+        return h
+
+
+def shingles(text: bytes | None, words: int, hashes: _WordHashes) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of a text's word shingles; a text with fewer words is one shingle."""
+    found = (text or b"").lower().split()
+    if len(found) < words:
+        return np.array([hashes[b" ".join(found)]], dtype="<u8")
+    w = np.fromiter(map(hashes.__getitem__, found), dtype="<u8", count=len(found))
+    n = len(w) - words + 1
+    h = w[:n]
+    for i in range(1, words):
+        h = _mixed(h, i) + w[i : i + n]
+    return np.unique(_mixed(h, words))
+
+
 def shingle_similarity(pairs: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
     """``pairs`` (a, b) with ``similarity``: the Jaccard index of the two documents' distinct word shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for b in batches:
-            out = []
-            for t in b.column(1):
-                found = (t.as_py() or b"").lower().split()
-                grams = {b" ".join(x) for x in zip(*(found[i:] for i in range(words)), strict=False)} if len(found) >= words else {b" ".join(found)}
-                out.append(sorted(_signed(xxhash.xxh64_intdigest(g, 0)) for g in grams))
+            hashes = _WordHashes()
+            out = [shingles(t.as_py(), words, hashes).view("<i8") for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "grams"])
 
     wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
@@ -150,23 +170,102 @@ def shingle_similarity(pairs: DataFrame, docs: DataFrame, words: int = 5) -> Dat
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
 
 
-def near_duplicates(docs: DataFrame, prints: int = PRINTS, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def _parts(arrays: Iterable[np.ndarray], size: int = 1 << 18) -> Iterator[list[np.ndarray]]:
+    """The arrays in lists of about ``size`` items."""
+    part, total = [], 0
+    for a in arrays:
+        part.append(a)
+        total += len(a)
+        if total >= size:
+            yield part
+            part, total = [], 0
+    if part:
+        yield part
+
+
+def frequent_shingles(texts: DataFrame, words: int, one_in: int = COUNTED, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """The most frequent shingles (sorted) of one in ``one_in`` of the ``texts`` (sha, text) and the binary
+    order of their counts.  At most ``most`` of them reach the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes = _WordHashes()
+            for part in _parts(shingles(t.as_py(), words, hashes) for t in b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view("<i8"))], names=["g"])
+
+    some = texts.where(F.pmod(F.xxhash64("sha"), F.lit(one_in)) == 0).select("text")
+    counts = some.mapInArrow(run, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    top = counts.orderBy(F.desc("n"), "g").limit(most).toArrow()
+    found, n = (np.asarray(top.column(c).to_numpy(), dtype=np.int64) for c in ("g", "n"))
+    found = found.view("<u8")
+    order = np.argsort(found)
+    return found[order], np.log2(n[order]).astype(np.int64)
+
+
+def shared_prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(g, doc_id, n, at): the shingles of each document's prefix that stand in another's prefix too, the
+    number of its shingles, and how many come before this one in the global order."""
+    frequent, level = frequent_shingles(texts, words)
+
+    def prefix(text: bytes | None, hashes: _WordHashes, sizes: list[int]) -> np.ndarray:
+        g = shingles(text, words, hashes)
+        sizes.append(len(g))
+        if len(frequent):
+            near = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
+            g = g[np.argsort(np.where(frequent[near] == g, level[near], 0), kind="stable")]
+        return g[: len(g) - int(np.ceil(similarity * len(g) - 1e-9)) + 1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            hashes, sizes, done = _WordHashes(), [], 0
+            for part in _parts(prefix(t.as_py(), hashes, sizes) for t in b.column(1)):
+                k, n, of = [len(g) for g in part], np.array(sizes[done : done + len(part)], dtype=np.int32), np.arange(done, done + len(part))
+                done += len(part)
+                at = np.concatenate([np.arange(i, dtype=np.int32) for i in k])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view("<i8")), b.column(0).take(pa.array(np.repeat(of, k))), pa.array(np.repeat(n, k)), pa.array(at)], names=["g", "doc_id", "n", "at"])
+
+    entries = materialise(texts.select("doc_id", "text").mapInArrow(run, "g long, doc_id long, n int, at int"), "near-prefixes")
+    again = entries.groupBy("g").agg(F.count("*").alias("docs")).where("docs > 1").select("g")
+    out = materialise(entries.join(again, "g").distinct(), "near-shared")
+    forget(entries)
+    return out
+
+
+def _may_reach(similarity: float) -> Column:
+    """Of two prefix entries x, y with the same shingle: whether the sizes, and what is left after the shingle,
+    allow ``similarity``, if it is the first that the documents share."""
+    x, y = F.col("x.n"), F.col("y.n")
+    most = F.least(x - F.col("x.at"), y - F.col("y.at"))
+    return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6) & (most >= similarity / (1 + similarity) * (x + y) - 1e-6)
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every distinct doc_id: documents joined by links of at least ``similarity``.
 
-    Candidates agree to two bits in one of several SimHash fingerprints of their distinct words (which
-    stay closer than those of long shingles); each link is then verified on the exact sets of ``words``-word
-    shingles.  Equal texts are one class and are always linked.  Texts without words are alike.
+    All pairs whose sets of ``words``-word shingles reach ``similarity`` are found (see the prefix filter
+    above) or joined through others.  First the documents with a common prefix shingle are verified against the
+    smallest of them; then all that still are in different components are verified with each other, so a group
+    of copies doesn't list its pairs.  Equal texts are one class and are always linked.  Texts without words
+    are alike.
     """
-    fps = materialise(fingerprints(docs.withColumn("sha", F.sha2(F.col("text").cast("binary"), 256)), 1, prints, distinct=True, extra=("sha",)), "near")
-    texts = fps.groupBy("sha").agg(F.min("doc_id").alias("rep"), F.first("fps").alias("fps")).where("rep is not null")
-    texts = materialise(texts, "near-texts")
-    every = texts.select("rep", F.posexplode("fps").alias("nth", "fp"))
-    classes = materialise(every.groupBy("nth", "fp").agg(F.min("rep").alias("rep"), F.count("*").alias("n")), "near-classes")
-    shared = classes.where("n > 1").select("nth", "fp", F.col("rep").alias("a"))
-    same = every.join(shared, ["nth", "fp"]).where("a != rep").select("a", F.col("rep").alias("b"))
-    edges = hamming_edges(classes.drop("n")).union(same)
-    edges = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "near-pairs")
-    linked = shingle_similarity(edges, docs, words).where(F.col("similarity") >= similarity).select("a", "b")
+    keyed = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("sha", F.coalesce(F.sha2("text", 256), F.lit("")))
+    ids = materialise(keyed.select("doc_id", "sha"), "near-ids")
+    reps = materialise(ids.groupBy("sha").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "near-texts")
+    met = shared_prefixes(keyed.join(reps, ["sha", "doc_id"], "left_semi"), words, similarity)
+    least = met.groupBy("g").agg(F.min(F.struct("doc_id", "n", "at")).alias("c")).select("g", "c.*")
+    x, y = least.alias("x"), met.alias("y")
+    stars = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.doc_id") < F.col("y.doc_id")) & _may_reach(similarity))
+    stars = materialise(stars.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "near-stars")
+    linked = materialise(shingle_similarity(stars, docs, words).where(F.col("similarity") >= similarity).select("a", "b"), "near-links")
     roots = connected_components(linked)
-    named = texts.join(roots, texts.rep == roots.node, "left").select(F.coalesce("sha", F.lit("")).alias("key"), F.coalesce("root", "rep").alias("component_id"))
-    return fps.select("doc_id", F.coalesce("sha", F.lit("")).alias("key")).join(named, "key", "left").select("doc_id", "component_id").dropDuplicates(["doc_id"])
+    named = materialise(met.join(roots, met.doc_id == roots.node, "left").select("g", "doc_id", "n", "at", F.coalesce("root", "doc_id").alias("root")), "near-roots")
+    mixed = named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
+    open_ = materialise(named.join(mixed, "g"), "near-open")
+    x, y = open_.alias("x"), open_.alias("y")
+    apart = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
+    rest = x.join(y, (F.col("x.g") == F.col("y.g")) & apart & _may_reach(similarity)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "near-rest")
+    more = shingle_similarity(rest, docs, words).where(F.col("similarity") >= similarity).select("a", "b")
+    roots = connected_components(linked.union(more))
+    named = reps.join(roots, reps.doc_id == roots.node, "left").select("sha", F.coalesce("root", "doc_id").alias("component_id"))
+    return ids.join(named, "sha", "left").select("doc_id", "component_id").dropDuplicates(["doc_id"])
