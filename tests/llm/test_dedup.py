@@ -142,6 +142,22 @@ def test_near_duplicates_find_appended_and_truncated_copies(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(_docs(spark, rows)).collect()} == expected
 
 
+def test_near_duplicates_in_a_group_with_an_unlike_first(spark):
+    rng = random.Random(23)
+    words = [f"w{i}" for i in range(200)]
+    halves = [" ".join(words), " ".join(words[100:] + words[:100])]  # alike, and of the same words
+    mixed = [" ".join(rng.sample(words, 200)) for _ in range(80)]  # the same words, unlike all others
+    rows = [*enumerate(mixed), (100, halves[0]), (101, halves[1])]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(_docs(spark, rows)).collect()}
+    assert got == {**{i: i for i in range(80)}, 100: 100, 101: 100}
+    common = [f"c{i}" for i in range(120)]
+    rows = [(i, " ".join(rng.sample(common, 120) + common[:20] + [f"x{i // 2}-{j}" for j in range(30)])) for i in range(160)]
+    rows += [(500 + i, " ".join([*common, "end", str(i)])) for i in range(5)]
+    texts = dict(rows)
+    expected = _components(list(texts), lambda a, b: _similar(texts[a], texts[b]))
+    assert {r.doc_id: r.component_id for r in simhash.near_duplicates(_docs(spark, rows)).collect()} == expected
+
+
 def _remove(rows, length):
     seen, out = set(), {}
     for d, t in sorted(rows, key=lambda x: x[0]):
