@@ -19,11 +19,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group; rows without an id can't be grouped and stay."""
-    groups = simhash.near_duplicates(docs.where("doc_id is not null"))
-    stays = groups.where("doc_id = component_id").select("doc_id")
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null")).select(*COLUMNS)
+    """The document with the smallest id of each group.
+
+    Rows with equal id and text are one document, different texts under one id are different documents.
+    Rows without an id can't be the first of a group: of those, one of each text stays."""
+    rows = docs.select(*COLUMNS).withColumn("sha", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
+    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    numbered = rows.where("doc_id is not null")
+    groups = simhash.near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
+    first = numbered.select("row", "doc_id", "sha").join(groups, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "sha", "row")).alias("c")).select("c.row")
+    unnamed = rows.where("doc_id is null").groupBy("sha").agg(F.min("row").alias("row")).select("row")
+    return rows.join(first.union(unnamed), "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,14 @@ def test_near_duplicates_leave_one(spark):
     assert sorted((r.doc_id is None, r.doc_id or 0) for r in out.collect()) == [(False, 2), (False, 9), (False, 11), (True, 0)]
 
 
+def test_near_duplicates_keep_texts_whose_ids_clash(spark):
+    rng = random.Random(3)
+    a, b, c = _text(rng), _text(rng), _text(rng)
+    rows = [(5, a), (5, b), (5, b), (3, c), (5, c), (None, a), (None, a), (None, None), (None, None)]
+    out = pipeline.near_duplicate_stage(spark, _docs(spark, rows), DATA)
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out.collect()))) == sorted(map(str, [(5, a), (5, b), (3, c), (None, a), (None, None)]))
+
+
 def test_repeated_passages_go(spark):
     rng = random.Random(2)
     passage, own = _text(rng, 60), _text(rng, 20)
