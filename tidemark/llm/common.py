@@ -5,10 +5,18 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of one Arrow batch that carries texts to a Python worker, unless the session names another bound.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+pa.set_memory_pool(pa.system_memory_pool())  # gives freed memory of batches back, in the workers too
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder that the cluster names; one of our own only where none is set, as in tests."""
@@ -40,6 +48,23 @@ def drop_path(spark: SparkSession, path: str) -> None:
         pass
 
 
+def map_arrow(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` over batches bounded in bytes: rows of any length, thousands of them to a batch or one."""
+    spark = df.sparkSession
+    if spark.conf.get(_BATCHES) == _default_batches(spark):
+        spark.conf.set(_BATCHES, str(BATCH_BYTES))
+    return df.mapInArrow(run, schema)
+
+
+def _default_batches(spark: SparkSession) -> str:
+    return spark._jvm.org.apache.spark.sql.internal.SQLConf().getConfString(_BATCHES)
+
+
+def slices(batch: pa.RecordBatch, rows: int = 256) -> list[pa.RecordBatch]:
+    """A batch in parts of some rows: what a worker holds and returns at a time."""
+    return [batch.slice(at, rows) for at in range(0, batch.num_rows, rows)]
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again: lineage ends there, so a lost
     executor costs a re-read, and work above it is not repeated for each use."""
@@ -51,6 +76,13 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def steady(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if its partitions are those of a table that is read, the same whenever a task is run again; else
+    it is written first."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return materialise(df, name) if "Exchange" in plan or "Scan ExistingRDD" in plan else df
+
+
 def forget(df: DataFrame) -> None:
     """Remove a written table that nothing reads any more."""
     drop_path(df.sparkSession, df._tidemark_path)

@@ -3,6 +3,10 @@
 Let N(h) be the number of open windows filled to level h.  Each arriving piece of s tokens goes to the
 level that makes the sum of the squared N(h) least: opening a window, or filling one of level h to h + s.
 The counts are an array by level, so a placement reads one vector and keeps no list of windows.
+
+At most ``OPEN_WINDOWS`` windows are open.  When so many are and none has room for a piece, the piece is cut
+where it fills a window, and what is left of it opens the next: of the levels to fill up, again the one that
+makes the sum of squares least.  So windows close as the stream goes on, and memory is bounded.
 """
 
 from __future__ import annotations
@@ -15,43 +19,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import map_arrow, slices, steady
+
 #: Marks the end of a document.
 END_ID = 1
+OPEN_WINDOWS = 8
 
 
 class SumOfSquares:
-    """Online packer of one stream; ``place`` returns the windows that are full."""
+    """Online packer of one stream; ``place`` returns the window that it fills, if any.  Pieces are
+    (name, first token, tokens)."""
 
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, most: int = OPEN_WINDOWS):
+        self.size, self.most = size, most
         self.count = np.zeros(size + 1, dtype=np.int64)
         self.open: list[list] = [[] for _ in range(size + 1)]
+        self.opened = 0
 
     def level(self, s: int) -> int:
-        """The level to fill up; 0 opens a window.  A full window counts as none; ties go to the fullest."""
+        """The level to fill, wholly or in part; 0 opens a window.  Ties go to the fullest."""
         n, size = self.count, self.size
-        leave = np.arange(size - s + 1)
-        # moving one window from h to h+s changes the sum by 2 (N(h+s) - N(h) + 1); opening by 2 N(s) + 1
-        change = 2 * (n[s : size + 1] - n[: size - s + 1] + 1)
-        change[-1] = 1 - 2 * n[size - s]
+        to = np.arange(size) + s
+        # moving one window from h to h + s, or to what is left of the piece: 2 (N(to) - N(h) + 1)
+        change = 2 * (n[np.where(to > size, to - size, to)] - n[:size] + 1)
+        if s < size:
+            change[size - s] = 1 - 2 * n[size - s]  # a full window counts as none
         change[0] = 2 * n[s] + 1 if s < size else 0
-        allowed = n[: size - s + 1] > 0
-        allowed[0] = True
-        change = np.where(allowed, change, np.iinfo(np.int64).max)
-        return int(leave[len(change) - 1 - np.argmin(change[::-1])])
-
-    def place(self, piece, s: int) -> list | None:
+        fits = (n[:size] > 0) & (to <= size)
+        fits[0] = self.opened < self.most
+        if not fits.any():
+            fits = n[:size] > 0
+        change[~fits] = np.iinfo(np.int64).max
+        return size - 1 - int(np.argmin(change[::-1]))
+
+    def place(self, name, s: int, at: int = 0) -> list | None:
         h = self.level(s)
         window = []
         if h:
             window = self.open[h].pop()
             self.count[h] -= 1
-        window.append((piece, s))
-        if h + s == self.size:
-            return window
-        self.open[h + s].append(window)
-        self.count[h + s] += 1
-        return None
+            self.opened -= 1
+        take = min(s, self.size - h)
+        window.append((name, at, take))
+        if h + take < self.size:
+            self._keep(window, h + take)
+            return None
+        if take < s:
+            self._keep([(name, at + take, s - take)], s - take)
+        return window
+
+    def _keep(self, window: list, level: int) -> None:
+        self.open[level].append(window)
+        self.count[level] += 1
+        self.opened += 1
 
     def rest(self) -> list:
         """The pieces of all open windows, fullest window first."""
@@ -62,8 +82,8 @@ def pack_stream(docs, encode, size: int, first_sequence: int) -> Iterator[tuple]
     """(doc_id, start, length, crc32, doc_tokens, sequence_id, offset) for documents (id, text).
 
     Whole windows are cut off a document first; what is left of it is placed by ``SumOfSquares``.  When
-    the stream ends, the open windows' pieces are laid end to end and cut freely: whole windows, then
-    powers of two, which need no padding.  So no token of padding is ever needed.
+    the stream ends, the pieces of the few windows still open are laid end to end and cut freely: whole
+    windows, then powers of two, which need no padding.  So no token of padding is ever needed.
     """
     packer, sequence = SumOfSquares(size), first_sequence
     end = np.array([END_ID], dtype="<u4").tobytes()
@@ -80,21 +100,20 @@ def pack_stream(docs, encode, size: int, first_sequence: int) -> Iterator[tuple]
             sequence += 1
         if whole < total:
             full = packer.place((doc, whole, ids[4 * whole :], total), total - whole)
-            if full:
-                offset = 0
-                for (d, start, part, n), s in full:
-                    yield piece(d, start, part, n, sequence, offset)
-                    offset += s
-                sequence += 1
+            offset = 0
+            for (d, start, part, n), at, s in full or ():
+                yield piece(d, start + at, part[4 * at : 4 * (at + s)], n, sequence, offset)
+                offset += s
+            sequence += bool(full)
     left = packer.rest()
-    room, used, remaining = 0, 0, sum(s for _, s in left)
-    for (d, start, ids, n), s in left:
-        at = 0
-        while at < s:
+    room, used, remaining = 0, 0, sum(s for _, _, s in left)
+    for (d, start, ids, n), at, s in left:
+        stop = at + s
+        while at < stop:
             if used == room:
                 sequence += room > 0
                 room, used = (size if remaining >= size else 1 << (remaining.bit_length() - 1)), 0
-            take = min(room - used, s - at)
+            take = min(room - used, stop - at)
             yield piece(d, start + at, ids[4 * at : 4 * (at + take)], n, sequence, used)
             at, used, remaining = at + take, used + take, remaining - take
 
@@ -107,8 +126,9 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048) -> DataFrame:
 
     Each partition is packed on its own, in the order in which it is read, and numbers its sequences from
     its partition number, so nothing is shuffled and a lost task is simply run again.  Null and blank
-    texts are the end mark alone; a null doc_id stays null; repeated rows are packed each.  The partitions
-    must be the same when computed again, as those of a table scan are.
+    texts are the end mark alone; a null doc_id stays null; repeated rows are packed each.  A worker holds a
+    few texts and OPEN_WINDOWS windows; a text of any length is encoded whole.  Partitions must be the same
+    when computed again: ``docs`` that aren't read from a table as they are get written first.
     """
     if size < 1 or size & (size - 1):
         raise ValueError("size must be a power of two")
@@ -119,7 +139,7 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048) -> DataFrame:
         from tidemark.llm.pieces import WordPieces
 
         encoder = WordPieces(tokenizer_file)
-        rows = ((d, t.as_py() or "") for b in batches for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True))
+        rows = ((d, t.as_py() or "") for b in batches for part in slices(b) for d, t in zip(part.column(0).to_pylist(), part.column(1), strict=True))
         out: list[tuple] = []
         for x in pack_stream(rows, encoder.encode_packed, size, TaskContext.get().partitionId() << 36):
             out.append(x)
@@ -132,4 +152,4 @@ def pack(docs: DataFrame, tokenizer_file: str, size: int = 2048) -> DataFrame:
     def batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _PIECES, strict=True)], schema=_PIECES)
 
-    return docs.select("doc_id", F.col("text")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(steady(docs.select("doc_id", F.col("text")), "pack"), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
