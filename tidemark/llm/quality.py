@@ -10,7 +10,9 @@ weighted by similarity.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
+from itertools import islice
 from operator import eq
 
 import numpy as np
@@ -18,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import map_arrow, slices
+
 #: Labelled rows of each class in the sample (those least by a hash of their id).
 SAMPLE = 2000
 NEIGHBOURS = 12
 DIMENSIONS = 40
 POWER = 8
 
-_CLASS = np.full(256, 4, dtype=np.int64)
+_CLASS = np.full(256, 4, dtype=np.uint8)
 _CLASS[ord("a") : ord("z") + 1] = 0
 _CLASS[ord("A") : ord("Z") + 1] = 1
 _CLASS[ord("0") : ord("9") + 1] = 2
@@ -34,23 +38,43 @@ for _i, _c in enumerate("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
     _CLASS[ord(_c)] = 6 + _i
 CLASSES = 38
 TERMS = CLASSES * CLASSES + 4
+#: Bytes of a text looked at at once; a text of any length takes memory for so many, and eight bytes a line.
+PART = 1 << 18
+_WORD = re.compile(rb"[^\x20\x09-\x0d]+")
+_LINE = re.compile(rb"[^\n]+")
+
+
+def _repeats(raw: bytes) -> tuple[int, int, int]:
+    """(words, those equal to the next one, those equal to the second next one)."""
+    n = once = twice = 0
+    before: list[bytes] = []
+    found = _WORD.finditer(raw)
+    while part := [m[0] for m in islice(found, 4096)]:
+        n += len(part)
+        words = before + part
+        # a pair counts in the part that holds its second word
+        once += sum(map(eq, words[max(len(before) - 1, 0) :], words[max(len(before), 1) :]))
+        twice += sum(map(eq, words[max(len(before) - 2, 0) :], words[max(len(before), 2) :]))
+        before = words[-2:]
+    return n, once, twice
+
+
+def _repeated_lines(raw: bytes) -> float:
+    import xxhash
+
+    lines = np.fromiter((xxhash.xxh64_intdigest(m[0]) for m in _LINE.finditer(raw)), dtype=np.uint64)
+    return 1 - len(np.unique(lines)) / len(lines) if len(lines) else 0.0
 
 
 def terms(text: bytes | None) -> np.ndarray:
-    """Relative frequencies of a whole text's terms, as square roots."""
+    """Relative frequencies of a whole text's terms, as square roots.  An empty text is the shortest there is."""
     raw = text or b""
-    out = np.zeros(TERMS)
-    c = _CLASS[np.frombuffer(raw, dtype=np.uint8)]
-    if len(c) > 1:
-        out[: CLASSES * CLASSES] = np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES) / (len(c) - 1)
-    words = raw.split()
-    if words:
-        n = len(words)
-        out[-4] = sum(map(eq, words, words[1:])) / n
-        out[-3] = sum(map(eq, words, words[2:])) / n
-        lines = [x for x in raw.split(b"\n") if x]
-        out[-2] = 1 - len(set(lines)) / len(lines)
-        out[-1] = 1 / (1 + n)
+    pairs, codes = np.zeros(CLASSES * CLASSES), np.frombuffer(raw, dtype=np.uint8)
+    for at in range(0, len(codes) - 1, PART):
+        c = _CLASS[codes[at : at + PART + 1]].astype(np.int16)
+        pairs += np.bincount(c[:-1] * CLASSES + c[1:], minlength=CLASSES * CLASSES)
+    n, once, twice = _repeats(raw)
+    out = np.concatenate([pairs / max(len(codes) - 1, 1), [once / max(n, 1), twice / max(n, 1), _repeated_lines(raw), 1 / (1 + n)]])
     return np.sqrt(out)
 
 
@@ -75,15 +99,22 @@ class Model:
         return np.divide(v, size, out=np.zeros_like(v), where=size > 0)
 
     def score(self, features: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the k nearest; 0.5 where nothing is alike."""
+        """Similarity-weighted share of label 1 among the k nearest; 0.5 where nothing is alike.
+
+        Cosines count to five digits.  Where several points are equally near at the k-th place, all of them
+        vote and share the places that are left, so no order of the sample decides.
+        """
         if not len(self.points):
             return np.full(len(features), 0.5)
-        cosine = self.project(features) @ self.points.T
+        cosine = np.round(self.project(features) @ self.points.T, 5)
         k = min(k, len(self.labels))
-        near = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
-        weight = np.clip(np.take_along_axis(cosine, near, axis=1), 0, None).astype(float) ** POWER
+        kth = np.partition(cosine, -k, axis=1)[:, -k, None]
+        places = (cosine > kth).astype(float)
+        tied = cosine == kth
+        places += tied * ((k - places.sum(axis=1, keepdims=True)) / tied.sum(axis=1, keepdims=True))
+        weight = places * np.clip(cosine, 0, None).astype(float) ** POWER
         total = weight.sum(axis=1)
-        return np.where(total > 0, (weight * self.labels[near]).sum(axis=1) / np.where(total > 0, total, 1), 0.5)
+        return np.where(total > 0, np.clip(weight @ self.labels / np.where(total > 0, total, 1), 0, 1), 0.5)
 
 
 def held_out() -> F.Column:
@@ -104,32 +135,33 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], names=["doc_id", "terms", "y"])
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = texts.mapInArrow(run, "doc_id long, terms binary, y int").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    rows = map_arrow(texts, run, "doc_id long, terms binary, y int").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     features = np.array([np.frombuffer(x, dtype="<f4") for x in rows["terms"]], dtype=float).reshape(len(rows), TERMS)
     return Model(features, rows["y"].to_numpy())
 
 
-def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns ``keep`` of ``docs`` and each whole text's score (double, 0 to 1)."""
+def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), at_least: float | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and each whole text's score (double, 0 to 1).  Rows that score below
+    ``at_least`` are left out by the worker, so their texts don't come back."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = np.zeros(b.num_rows)
-            for at in range(0, b.num_rows, 256):
-                part = [terms(t.as_py()) for t in b.column(b.num_columns - 1)[at : at + 256]]
-                out[at : at + 256] = shared.value.score(np.array(part))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.float64())], names=[*b.schema.names[:-1], "score"])
+            for part in slices(b):
+                texts = part.column("text").cast(pa.binary())
+                found = shared.value.score(np.array([terms(t.as_py()) for t in texts]))
+                out = pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), pa.array(found, pa.float64())], names=[*keep, "score"])
+                yield out if at_least is None else out.filter(pa.array(found >= at_least))
 
-    source = docs.select(*keep, F.col("text").cast("binary").alias("__text"))
-    return source.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]) + ", score double")
+    source = docs.select(*dict.fromkeys([*keep, "text"]))
+    return map_arrow(source, run, ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in keep) + ", score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of ``docs`` (doc_id, text).
 
-    Null and empty texts are scored like any other, by how short they are.  A null doc_id is not held out.
-    Without labels every score is 0.5.
+    Null and empty texts are scored like any other, as the shortest there are.  A text of any length is read
+    in parts.  A null doc_id is not held out.  Without labels every score is 0.5.
     """
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
