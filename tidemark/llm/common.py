@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -11,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Keys of a join that are few enough to be sent to every executor; with more, both sides are dealt by key.
+FEW_KEYS = 1 << 20
 #: Bytes of one Arrow batch that carries texts to a Python worker, unless the session names another bound.
 BATCH_BYTES = 4 << 20
 _BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -76,6 +79,18 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def join_keys(df: DataFrame, keys: DataFrame, on: str, how: str) -> DataFrame:
+    """The semi or anti join of ``df`` with a written table of keys.  They are counted first: only up to
+    FEW_KEYS are broadcast, and then the rows of ``df`` (texts) stay where they are."""
+    return df.join(F.broadcast(keys) if keys.count() <= FEW_KEYS else keys, on, how)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of plans that are done with; it does so when their objects go."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def steady(df: DataFrame, name: str) -> DataFrame:
     """``df`` if its partitions are those of a table that is read, the same whenever a task is run again; else
     it is written first."""

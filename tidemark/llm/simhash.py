@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, forget, materialise
+from tidemark.llm.common import connected_components, forget, join_keys, map_arrow, materialise, release, slices
 
 BITS = 64
 #: A table's bucket with more distinct fingerprints than this is linked through one-bit neighbours; up to
@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1, seed: int = 4
 
     source = docs.select("doc_id", *extra, F.col("text").cast("binary").alias("text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1])
-    return source.mapInArrow(run, kept + ", fps array<long>")
+    return map_arrow(source, run, kept + ", fps array<long>")
 
 
 def hamming_edges(classes: DataFrame, radius: int = 2, bucket: int = BUCKET) -> DataFrame:
@@ -154,17 +154,19 @@ def shingles(text: bytes | None, words: int, hashes: _WordHashes) -> np.ndarray:
 
 
 def shingle_similarity(pairs: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
-    """``pairs`` (a, b) with ``similarity``: the Jaccard index of the two documents' distinct word shingles."""
+    """``pairs`` (a, b; a written table) with ``similarity``: the Jaccard index of the two documents' distinct
+    word shingles.  A pair has a row for each text that its ids have."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hashes = _WordHashes()
-            out = [shingles(t.as_py(), words, hashes).view("<i8") for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "grams"])
+            for part in slices(b, 64):
+                out = [shingles(t.as_py(), words, hashes).view("<i8") for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "grams"])
 
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(wanted, "doc_id", "left_semi")
-    grams = materialise(texts.mapInArrow(run, "doc_id long, grams array<long>").dropDuplicates(["doc_id"]), "shingles")
+    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-wanted")
+    texts = join_keys(docs.select("doc_id", F.col("text").cast("binary").alias("text")), wanted, "doc_id", "left_semi")
+    grams = materialise(map_arrow(texts, run, "doc_id long, grams array<long>"), "shingles")
     both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
@@ -194,7 +196,7 @@ def frequent_shingles(texts: DataFrame, words: int, one_in: int = COUNTED, most:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view("<i8"))], names=["g"])
 
     some = texts.where(F.pmod(F.xxhash64("sha"), F.lit(one_in)) == 0).select("text")
-    counts = some.mapInArrow(run, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
+    counts = map_arrow(some, run, "g long").groupBy("g").agg(F.count("*").alias("n")).where("n > 1")
     top = counts.orderBy(F.desc("n"), "g").limit(most).toArrow()
     found, n = (np.asarray(top.column(c).to_numpy(), dtype=np.int64) for c in ("g", "n"))
     found = found.view("<u8")
@@ -202,14 +204,24 @@ def frequent_shingles(texts: DataFrame, words: int, one_in: int = COUNTED, most:
     return found[order], np.log2(n[order]).astype(np.int64)
 
 
-def shared_prefixes(texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(g, doc_id, n, at): the shingles of each document's prefix that stand in another's prefix too, the
-    number of its shingles, and how many come before this one in the global order."""
+def _majority(hashes: np.ndarray) -> int:
+    """The SimHash of a set of shingle hashes."""
+    counts = np.zeros(BITS, dtype=np.int64)
+    for at in range(0, len(hashes), 4096):
+        counts += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def shared_prefixes(texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """For ``texts`` (sha, doc_id, text) in one pass: (g, doc_id, n, at), the shingles of each document's prefix
+    that stand in another's prefix too, the number of its shingles, and how many come before this one in the
+    global order; and (doc_id, fp), the SimHash of all its shingles."""
     frequent, level = frequent_shingles(texts, words)
 
-    def prefix(text: bytes | None, hashes: _WordHashes, sizes: list[int]) -> np.ndarray:
+    def prefix(text: bytes | None, hashes: _WordHashes, sizes: list[int], prints: list[int]) -> np.ndarray:
         g = shingles(text, words, hashes)
         sizes.append(len(g))
+        prints.append(_majority(g))
         if len(frequent):
             near = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
             g = g[np.argsort(np.where(frequent[near] == g, level[near], 0), kind="stable")]
@@ -217,18 +229,27 @@ def shared_prefixes(texts: DataFrame, words: int, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, sizes, done = _WordHashes(), [], 0
-            for part in _parts(prefix(t.as_py(), hashes, sizes) for t in b.column(1)):
-                k, n, of = [len(g) for g in part], np.array(sizes[done : done + len(part)], dtype=np.int32), np.arange(done, done + len(part))
+            hashes, sizes, prints, done = _WordHashes(), [], [], 0
+            for part in _parts(prefix(t.as_py(), hashes, sizes, prints) for t in b.column(1)):
+                here = slice(done, done + len(part))
+                k, n, of = np.array([len(g) for g in part]), np.array(sizes[here], dtype=np.int32), np.arange(done, done + len(part))
                 done += len(part)
-                at = np.concatenate([np.arange(i, dtype=np.int32) for i in k])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(part).view("<i8")), b.column(0).take(pa.array(np.repeat(of, k))), pa.array(np.repeat(n, k)), pa.array(at)], names=["g", "doc_id", "n", "at"])
-
-    entries = materialise(texts.select("doc_id", "text").mapInArrow(run, "g long, doc_id long, n int, at int"), "near-prefixes")
-    again = entries.groupBy("g").agg(F.count("*").alias("docs")).where("docs > 1").select("g")
-    out = materialise(entries.join(again, "g").distinct(), "near-shared")
+                # before the entries one row for each document: its fingerprint, at place -1
+                at = np.concatenate([np.full(len(part), -1, dtype=np.int32), *(np.arange(i, dtype=np.int32) for i in k)])
+                g = np.concatenate([np.array(prints[here], dtype=np.int64), *(x.view("<i8") for x in part)])
+                ids = b.column(0).take(pa.array(np.concatenate([of, np.repeat(of, k)])))
+                yield pa.RecordBatch.from_arrays([pa.array(g), ids, pa.array(np.concatenate([n, np.repeat(n, k)])), pa.array(at)], names=["g", "doc_id", "n", "at"])
+
+    entries = materialise(map_arrow(texts.select("doc_id", "text"), run, "g long, doc_id long, n int, at int"), "near-prefixes")
+    prints = materialise(entries.where("at < 0").select("doc_id", F.col("g").alias("fp")).distinct(), "near-prints")
+    entries_of = entries.where("at >= 0")
+    again = materialise(entries_of.groupBy("g").agg(F.count("*").alias("docs")).where("docs > 1").select("g"), "near-again")
+    release(entries.sparkSession)
+    met = materialise(entries_of.join(again, "g"), "near-shared")
     forget(entries)
-    return out
+    forget(again)
+    release(met.sparkSession)
+    return met, prints
 
 
 def _may_reach(similarity: float) -> Column:
@@ -239,33 +260,51 @@ def _may_reach(similarity: float) -> Column:
     return (F.least(x, y) >= similarity * F.greatest(x, y) - 1e-6) & (most >= similarity / (1 + similarity) * (x + y) - 1e-6)
 
 
+def simhash_candidates(prints: DataFrame) -> DataFrame:
+    """(a, b): documents of ``prints`` (doc_id, fp) whose fingerprints are equal, or differ in two bits or
+    fewer, each through the smallest document of its fingerprint."""
+    classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("nth", F.lit(0)), "near-classes")
+    equal = prints.join(classes, "fp").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
+    return equal.union(hamming_edges(classes).select(F.least("a", "b"), F.greatest("a", "b")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc_id, component_id) for every distinct doc_id: documents joined by links of at least ``similarity``.
 
-    All pairs whose sets of ``words``-word shingles reach ``similarity`` are found (see the prefix filter
-    above) or joined through others.  First the documents with a common prefix shingle are verified against the
-    smallest of them; then all that still are in different components are verified with each other, so a group
-    of copies doesn't list its pairs.  Equal texts are one class and are always linked.  Texts without words
-    are alike.
+    Candidates of SimHash (see above) and of the prefix filter are verified on the exact sets of
+    ``words``-word shingles.  SimHash finds close copies; the prefix filter finds every other pair that
+    reaches ``similarity``, so none is left to chance.  First the documents with a common prefix shingle are
+    verified against one of them, the most typical; then all that still are in different components are verified
+    with each other, so a group of copies doesn't list its pairs.  Equal texts are one class and are always
+    linked.  Texts without words are alike.
     """
     keyed = docs.select("doc_id", F.col("text").cast("binary").alias("text")).withColumn("sha", F.coalesce(F.sha2("text", 256), F.lit("")))
     ids = materialise(keyed.select("doc_id", "sha"), "near-ids")
     reps = materialise(ids.groupBy("sha").agg(F.min("doc_id").alias("doc_id")).where("doc_id is not null"), "near-texts")
-    met = shared_prefixes(keyed.join(reps, ["sha", "doc_id"], "left_semi"), words, similarity)
-    least = met.groupBy("g").agg(F.min(F.struct("doc_id", "n", "at")).alias("c")).select("g", "c.*")
-    x, y = least.alias("x"), met.alias("y")
-    stars = x.join(y, (F.col("x.g") == F.col("y.g")) & (F.col("x.doc_id") < F.col("y.doc_id")) & _may_reach(similarity))
-    stars = materialise(stars.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "near-stars")
+    copies = materialise(ids.where("doc_id is not null").join(reps, ["sha", "doc_id"], "left_anti").select("doc_id").distinct().join(reps, "doc_id", "left_anti"), "near-copies")
+    different = join_keys(keyed.where("doc_id is not null"), copies, "doc_id", "left_anti")
+    met, prints = shared_prefixes(different, words, similarity)
+    # of changed copies, their original has the fewest shingles of its own, which come first, before a shared one
+    centre = F.min_by(F.struct("doc_id", "n", "at"), F.struct("at", "doc_id"))
+    x, y = met.groupBy("g").agg(centre.alias("c")).select("g", "c.*").alias("x"), met.alias("y")
+    a, b = F.col("x.doc_id"), F.col("y.doc_id")
+    stars = x.join(y, (F.col("x.g") == F.col("y.g")) & (a != b) & _may_reach(similarity)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    stars = materialise(stars.union(simhash_candidates(prints)).distinct(), "near-stars")
     linked = materialise(shingle_similarity(stars, docs, words).where(F.col("similarity") >= similarity).select("a", "b"), "near-links")
+    release(docs.sparkSession)
     roots = connected_components(linked)
     named = materialise(met.join(roots, met.doc_id == roots.node, "left").select("g", "doc_id", "n", "at", F.coalesce("root", "doc_id").alias("root")), "near-roots")
     mixed = named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
     open_ = materialise(named.join(mixed, "g"), "near-open")
     x, y = open_.alias("x"), open_.alias("y")
-    apart = (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.root") != F.col("y.root"))
-    rest = x.join(y, (F.col("x.g") == F.col("y.g")) & apart & _may_reach(similarity)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
+    apart = (a < b) & (F.col("x.root") != F.col("y.root"))
+    rest = x.join(y, (F.col("x.g") == F.col("y.g")) & apart & _may_reach(similarity)).select(a.alias("a"), b.alias("b")).distinct()
     rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "near-rest")
+    for done in (met, named, open_):
+        forget(done)
+    release(docs.sparkSession)
     more = shingle_similarity(rest, docs, words).where(F.col("similarity") >= similarity).select("a", "b")
     roots = connected_components(linked.union(more))
+    release(docs.sparkSession)
     named = reps.join(roots, reps.doc_id == roots.node, "left").select("sha", F.coalesce("root", "doc_id").alias("component_id"))
     return ids.join(named, "sha", "left").select("doc_id", "component_id").dropDuplicates(["doc_id"])
