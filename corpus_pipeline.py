@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import packing, quality, simhash, suffix_dedup
-from tidemark.llm.common import materialise
+from tidemark.llm.common import join_keys, materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 THRESHOLD = 0.7
@@ -15,21 +15,26 @@ THRESHOLD = 0.7
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-neighbour classifier scores at THRESHOLD or more."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.score(docs, model, COLUMNS).where(F.col("score") >= THRESHOLD).select(*COLUMNS)
+    return quality.score(docs, model, COLUMNS, at_least=THRESHOLD).select(*COLUMNS)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group.
 
-    Rows with equal id and text are one document, different texts under one id are different documents.
+    Rows with equal id and text are one document (named by a hash of both), different texts under one id are
+    different documents.
     Rows without an id can't be the first of a group: of those, one of each text stays."""
-    rows = docs.select(*COLUMNS).withColumn("sha", F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")))
-    rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()), "near-rows")
-    numbered = rows.where("doc_id is not null")
-    groups = simhash.near_duplicates(numbered.select(F.col("row").alias("doc_id"), "text")).withColumnRenamed("doc_id", "row")
-    first = numbered.select("row", "doc_id", "sha").join(groups, "row").groupBy("component_id").agg(F.min(F.struct("doc_id", "sha", "row")).alias("c")).select("c.row")
-    unnamed = rows.where("doc_id is null").groupBy("sha").agg(F.min("row").alias("row")).select("row")
-    return rows.join(first.union(unnamed), "row", "left_semi").select(*COLUMNS)
+    sha = F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit(""))
+    rows = docs.select(*COLUMNS, F.xxhash64("doc_id", sha).alias("document"))
+    ids = materialise(docs.select(F.xxhash64("doc_id", sha).alias("document"), "doc_id", sha.alias("sha")), "near-documents")
+    groups = simhash.near_duplicates(rows.where("doc_id is not null").select(F.col("document").alias("doc_id"), "text")).withColumnRenamed("doc_id", "document")
+    named = ids.where("doc_id is not null").distinct().join(groups, "document")
+    first = named.groupBy("component_id").agg(F.min(F.struct("doc_id", "sha", "document")).alias("c")).select("c.document")
+    gone = materialise(named.select("document").join(first, "document", "left_anti"), "near-gone")
+    again = materialise(ids.groupBy("document").count().where("count > 1").select("document"), "near-repeated")
+    kept = join_keys(rows, gone, "document", "left_anti")
+    one, several = join_keys(kept, again, "document", "left_anti"), join_keys(kept, again, "document", "left_semi")
+    return one.union(several.dropDuplicates(["document"])).select(*COLUMNS)
 
 
 def repeated_passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
