@@ -266,6 +266,32 @@ def test_site_templates(spark):
     assert {r.text for r in html_text.extract(copies).collect()} == {"Head&line\n\nOne two\n\nThree four"}
 
 
+def test_templates_by_brute_force(spark):
+    """Against templates counted page by page: menus, adverts and boxes in the article, without telling names."""
+    rng = random.Random(4)
+    words = lambda n: " ".join(rng.choice("abcdefgh") * rng.randrange(1, 5) for _ in range(n))
+    menus, boxes = [f"<div>{words(6)}</div>" for _ in range(4)], [f"<section><p>{words(5)}</p></section>" for _ in range(2)]
+    rows = []
+    for i in range(120):
+        body = "".join(f"<p>{words(8)}</p>" for _ in range(3)) + rng.choice(boxes) + "<p>a passage that recurs</p>"
+        article = f"<article>{body}</article>" if i % 4 else body
+        rows.append((i, f"http://h{i % 40 == 0}.example/{i}", f"<body>{rng.choice(menus)}{article}<div>{rng.choice(menus)}</div></body>"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    on = defaultdict(set)
+    for i, _, source in rows:
+        root = html_text.parse(source)
+        article, keys = html_text.candidates(root, html_text.subtree_hashes(root))
+        for k in keys:
+            on[i % 40 == 0, k].add(article)
+    templates = {h: {k for (x, k), a in on.items() if x == h and len(a) >= (8 if k % 2 else 3)} for h in (True, False)}
+    got = {r.page_id: r for r in html_text.extract(df).collect()}
+    for i, _, source in rows:
+        text, deleted = html_text.cleaned(source, templates[i % 40 == 0])
+        assert (got[i].text, got[i].template_subtrees) == (text, deleted)
+        assert i % 40 == 0 or deleted == 3 and text.endswith("a passage that recurs") and len(text.split("\n\n")) == 4
+    assert all(r.template_subtrees == 0 for r in html_text.extract(df.limit(2)).collect())
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_conversion(version):
     blocks = [b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>x\n\n</p>", b"plain\nhttp://not.a/header 1 2 3 4\n", b""]

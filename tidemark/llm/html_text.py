@@ -1,26 +1,28 @@
 """Main text of web pages, with the removal of a site's templates.
 
-Pages are parsed into element trees.  Every container's subtree is hashed by what it holds; Spark counts, for
-each host, on how many pages with different articles a hash occurs, and subtrees found on many are deleted
-as part of the site's template.  Elements that are boilerplate by name or by their class, id or role are
-deleted anywhere.  If a page has an article (or main) element, its text is the page's text.
+Pages are parsed into element trees.  Each block's subtree is hashed by what it holds; Spark counts, for each
+host, on how many pages with different articles a hash occurs, and subtrees found on many are deleted as part
+of the site's template, before anything else is looked at.  From what is left, elements that are boilerplate by
+name or by their class, id or role are deleted anywhere.  If a page has an article (or main) element, its text
+is the page's text.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialise
+from tidemark.llm.common import map_arrow, materialise, slices
 
-#: Pages with different articles on which a subtree must occur to be a template of the host.
-TEMPLATE_PAGES = 8
+#: Pages with different articles on which a subtree must occur to be a template of the host: one beside the
+#: article, and one in it (or anywhere on a page that has neither article nor main element).
+TEMPLATE_PAGES, ARTICLE_PAGES = 3, 8
 
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript plaintext".split())
@@ -35,7 +37,9 @@ _JUNK = re.compile(
 )
 _JUNK_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 #: Deleted inside an article only as whole containers; its paragraphs are text, however often they recur.
-CONTAINER = frozenset("div section ul ol dl table figure details center".split())
+CONTAINER = frozenset("div section ul ol dl table figure details center".split()) | DROPPED & BLOCK
+#: Never templates themselves.
+_KEPT = frozenset("html head body article main".split())
 _CLOSES = {
     "li": ("li", frozenset("ul ol menu dir".split())), "dt": (("dt", "dd"), frozenset(["dl"])), "dd": (("dt", "dd"), frozenset(["dl"])), "tr": (("tr", "td", "th"), frozenset(["table"])), "td": (("td", "th"), frozenset(["table", "tr"])), "th": (("td", "th"), frozenset(["table", "tr"])), "option": (("option",), frozenset(["select"])),
 }
@@ -131,14 +135,32 @@ def _walk(root: Node) -> Iterator[Node]:
             todo += [(c, False) for c in node.children if isinstance(c, Node)]
 
 
+def _hash(parts: Iterable[bytes]) -> int:
+    h = blake2b(digest_size=8)
+    for p in parts:
+        h.update(p)
+    return int.from_bytes(h.digest(), "big") >> 2
+
+
+def _utf8(text: str) -> bytes:
+    return " ".join(text.split()).encode("utf-8", "surrogatepass")
+
+
 def subtree_hashes(root: Node) -> dict[int, int]:
-    """The hash of each element's tag and content, by the element's id()."""
+    """The hash of each element's tag and content, by the element's id(); 0 where it holds no text."""
     out: dict[int, int] = {}
     for node in _walk(root):
-        h = blake2b(node.tag.encode(), digest_size=8)
+        parts, filled = [node.tag.encode()], False
         for c in node.children:
-            h.update(b"\1" + out[id(c)].to_bytes(8, "big") if isinstance(c, Node) else b"\2" + " ".join(c.split()).encode("utf-8", "surrogatepass"))
-        out[id(node)] = int.from_bytes(h.digest(), "big") >> 1
+            if isinstance(c, Node):
+                found = out[id(c)]
+                filled |= found != 0
+                parts.append(b"\1" + (_utf8(c.tag) if not found else found.to_bytes(8, "big")))
+            else:
+                text = _utf8(c)
+                filled |= bool(text)
+                parts.append(b"\2" + text)
+        out[id(node)] = _hash(parts) | 1 if filled else 0
     return out
 
 
@@ -154,30 +176,45 @@ def _main(root: Node) -> list[Node]:
                 found.append(node)
             else:
                 todo += [c for c in reversed(node.children) if isinstance(c, Node)]
-        if any(blocks(n, frozenset(), {}) for n in found):
+        if any(blocks(n) for n in found):
             return found
     return [root]
 
 
+def _visit(root: Node, hashes: dict[int, int], templates: set[int] | frozenset[int]) -> tuple[list[int], int]:
+    """(keys of the subtrees that may be templates, deleted subtrees): those whose key is in ``templates`` are
+    cut out of the tree, with what is below them.  A key is a hash and, as its last bit, whether the subtree is in
+    the article."""
+    parts = {id(p) for p in _main(root)}
+    keys, deleted, todo = [], 0, [(root, id(root) in parts)]
+    while todo:
+        node, inside = todo.pop()
+        gone = set()
+        for c in node.children:
+            if not isinstance(c, Node):
+                continue
+            if c.tag not in _KEPT and hashes[id(c)] and (c.tag in CONTAINER or not inside and c.tag in BLOCK):
+                key = hashes[id(c)] << 1 | inside
+                keys.append(key)
+                if key in templates:
+                    gone.add(id(c))
+                    continue
+            todo.append((c, inside or id(c) in parts))
+        if gone:
+            node.children = [c for c in node.children if id(c) not in gone]
+            deleted += len(gone)
+    return keys, deleted
+
+
 def candidates(root: Node, hashes: dict[int, int]) -> tuple[int, set[int]]:
-    """(hash of the page's article, hashes of the subtrees in its main parts that may be templates)."""
+    """(hash of the page's article, keys of the subtrees that may be templates)."""
     parts = _main(root)
-    whole = parts[0] is root
-    out = set()
-    for part in parts:
-        todo = [c for c in part.children if isinstance(c, Node)]
-        while todo:
-            node = todo.pop()
-            if node.tag in DROPPED:
-                continue
-            if node.tag not in ("html", "body", "article", "main") and (whole or node.tag in CONTAINER):
-                out.add(hashes[id(node)])
-            todo += [c for c in node.children if isinstance(c, Node)]
-    return hash(tuple(hashes[id(p)] for p in parts)), out
+    article = hashes[id(root)] if parts[0] is root else _hash(_utf8(b) for p in parts for b in blocks(p))
+    return article, set(_visit(root, hashes, frozenset())[0])
 
 
-def blocks(root: Node, templates: frozenset[int] | set[int], hashes: dict[int, int]) -> list[str]:
-    """The text blocks below an element, in order, without boilerplate and templates."""
+def blocks(root: Node) -> list[str]:
+    """The text blocks below an element, in order, without boilerplate."""
     out: list[str] = []
     now: list[str] = []
 
@@ -194,7 +231,7 @@ def blocks(root: Node, templates: frozenset[int] | set[int], hashes: dict[int, i
             close()
         elif isinstance(x, str):
             now.append(x)
-        elif x is not root and (_junk(x.tag, x.attributes) or templates and hashes[id(x)] in templates):
+        elif x is not root and _junk(x.tag, x.attributes):
             if x.tag in BLOCK:
                 close()
         else:
@@ -209,41 +246,53 @@ def blocks(root: Node, templates: frozenset[int] | set[int], hashes: dict[int, i
     return out
 
 
-def main_text(source: str, templates: set[int] | None = None) -> str:
+def cleaned(source: str, templates: set[int] | frozenset[int] = frozenset()) -> tuple[str, int]:
+    """(main text of a page, template subtrees deleted from it)."""
     root = parse(source)
-    hashes = subtree_hashes(root) if templates else {}
-    return "\n\n".join(b for part in _main(root) for b in blocks(part, templates or frozenset(), hashes))
+    deleted = _visit(root, subtree_hashes(root), templates)[1] if templates else 0
+    return "\n\n".join(b for part in _main(root) for b in blocks(part)), deleted
+
 
+def main_text(source: str, templates: set[int] | frozenset[int] = frozenset()) -> str:
+    return cleaned(source, templates)[0]
 
-def extract(pages: DataFrame, template_pages: int = TEMPLATE_PAGES) -> DataFrame:
-    """(page_id, url, text, n_chars) for every row of ``pages`` (page_id, url, html).
+
+def extract(pages: DataFrame, template_pages: int = TEMPLATE_PAGES, article_pages: int = ARTICLE_PAGES) -> DataFrame:
+    """(page_id, url, text, n_chars, template_subtrees) for every row of ``pages`` (page_id, url, html).
 
     Only hashes travel: (page, host, subtree) rows are counted by host with partial sums, and those that
-    are templates come back to their page.  Null html is an empty page; a null url is a host of its own; a
-    null page_id has its text without template removal; repeated rows are repeated.
+    are templates come back to their page.  A host with fewer pages than ``template_pages`` has no templates,
+    and what recurs on copies of one article is none.  Null html is an empty page; a null url is a host of its
+    own; a null page_id has its text without template removal; repeated rows are repeated.  A page of any length
+    is parsed whole, one at a time.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[tuple] = []
-            for page, host, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                root = parse(source.as_py() or "")
-                article, found = candidates(root, subtree_hashes(root))
-                rows += [(page, host, article, h) for h in found]
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=["page_id", "host", "article", "subtree"])
+            for part in slices(b):
+                rows: list[tuple] = []
+                for page, host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                    root = parse(source.as_py() or "")
+                    article, found = candidates(root, subtree_hashes(root))
+                    rows += [(page, host, article, k) for k in found]
+                cols = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["page_id", "host", "article", "subtree"])
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = [main_text(s.as_py() or "", set(t or ())) for s, t in zip(b.column(2), b.column(3).to_pylist(), strict=True)]
-            sizes = [len(t) for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(sizes, pa.int64())], names=["page_id", "url", "text", "n_chars"])
-
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1), F.lit("")))
-    found = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), "html").mapInArrow(find, "page_id long, host string, article long, subtree long")
-    found = materialise(found, "subtrees")  # both uses below read hashes, and no page is parsed for each
+            for part in slices(b):
+                found = [cleaned(s.as_py() or "", set(t or ())) for s, t in zip(part.column(2), part.column(3).to_pylist(), strict=True)]
+                texts, deleted = [t for t, _ in found], [n for _, n in found]
+                columns = [part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(deleted, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "text", "n_chars", "template_subtrees"])
+
+    host = F.xxhash64(F.lower(F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][\w+.-]*://([^/?#]*)", 1), F.lit(""))))
+    found = pages.where("page_id is not null").select(F.col("page_id").cast("long").alias("page_id"), host.alias("host"), "html")
+    found = materialise(map_arrow(found, find, "page_id long, host long, article long, subtree long"), "subtrees")  # no page is parsed for each use
     articles = found.select("host", "subtree", "article").distinct()
-    templates = articles.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= template_pages).select("host", "subtree")
+    many = F.when(F.col("subtree") % 2 == 1, article_pages).otherwise(template_pages)
+    templates = articles.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= many).select("host", "subtree")
+    templates = materialise(templates, "templates")
     of_page = found.join(templates, ["host", "subtree"], "left_semi").groupBy("page_id").agg(F.collect_set("subtree").alias("templates"))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").join(of_page, "page_id", "left")
-    return rows.select("page_id", "url", "html", "templates").mapInArrow(clean, "page_id long, url string, text string, n_chars long")
+    return map_arrow(rows.select("page_id", "url", "html", "templates"), clean, "page_id long, url string, text string, n_chars long, template_subtrees int")
