@@ -20,7 +20,9 @@ def test_slope_rate(spark, values, expected):
 @pytest.mark.parametrize(("n", "expected"), [(5, 0.026315789), (8, 0.055346961), (13, -0.066209499)])
 def test_drift(spark, n, expected):
     row = series.cubic_drift(_series(spark, DRIFT[:n]), ["k"], ["t"], "v").first()
-    drift, acceleration = iterative.drift_and_acceleration(np.array(DRIFT[:n]))
+    y = np.array(DRIFT[:n])
+    fit = np.polynomial.Polynomial.fit(np.arange(n, dtype=float), y / y.mean(), 3)
+    drift, acceleration = fit.deriv(1)(n - 1), fit.deriv(2)(n - 1)
     assert row.drift == pytest.approx(expected, abs=1e-9) and drift == pytest.approx(expected, abs=1e-9)
     assert row.acceleration == pytest.approx(acceleration, abs=1e-9)
 
@@ -97,10 +99,62 @@ def test_splits(spark):
     assert [(r.lo, r.hi) for r in buckets.equal_width_splits(_series(spark, [0, 10]), ["k"], "v", 2, 0).orderBy("nth").collect()] == [(0, 5), (5, 10)]
 
 
-def test_walked_series():
+def test_nearest_trend():
     y = np.array([101.95, 101.80, 100.10, 99.60, 101.5, 104.4, 101.3, 101.2, 101.1, 101.0])
-    assert iterative.nearest_trend(y, 0.01)[0] == -1 and iterative.nearest_trend(y, 0.01, forward=True)[0] == -1
-    assert iterative.nearest_trend(np.arange(1.0, 6), 0.01, forward=True)[0] == 1
-    assert iterative.trend_bits(np.arange(8.0), 7) == 127 and iterative.trend_bits(-np.arange(8.0), 7) == 0
-    assert iterative.factor_decode(iterative.factor_code([True, False, True])) == 5
-    assert len(iterative.resample(np.arange(3.0), 9)) == 9
+    # back from 101.0 the rise to 104.4 is the first one of more than 1 percent that ends
+    assert iterative.nearest_trend(y, 0.01)[:2] == (-1, 5) and iterative.nearest_trend(y, 0.01)[2] == pytest.approx((101.0 - 104.4) / 101.0)
+    # from 101.95 the low of 99.60 comes first, the high of 104.4 later
+    assert iterative.nearest_trend(y, 0.01, forward=True)[:2] == (-1, 3)
+    assert iterative.nearest_trend(np.arange(1.0, 6), 0.01, forward=True)[:2] == (-1, 4)  # a pure rise, forward
+    assert iterative.nearest_trend(np.arange(1.0, 6), 0.01)[:2] == (1, 0)
+    # the change is measured from the first value: 104 isn't 5 percent above 100, 106 is, and 107 after it goes on
+    assert iterative.nearest_trend(np.array([100.0, 104, 103, 106, 107, 90]), 0.05, forward=True)[:3] == (1, 4, pytest.approx(0.07))
+    # no turning point: the line over all of it, in the bounds given
+    flat = iterative.nearest_trend(np.array([100.0, 101, 102]), 0.05, 100, 102)
+    assert flat[:2] == (0, 0) and flat[2] == pytest.approx((102 - (2 * 0.001 / 0.998 + 100)) / 102) and flat[3] == pytest.approx(0.499)
+    assert iterative.nearest_trend(np.array([5.0, 6]), 0.01) == (0, 0, 0.01, 0.0)
+
+
+def test_bits():
+    assert iterative.trend_bits(np.array([1.0, 2, 2, 1]), 3) == 0b011  # the newest step falls: the highest bit
+    assert iterative.trend_bits(np.array([3.0, 1, 2]), 2) == 0b10
+    assert iterative.trend_bits(np.arange(9.0), 8) == -1 and iterative.trend_bits(np.array([1.0]), 3) == 0
+    # 1 9 2 8 -> 5 5.5 5 by neighbours
+    assert iterative.trend_bits(np.array([1.0, 9, 2, 8]), 2) == 0b01
+    assert iterative.resample(np.array([0.0, 2, 4]), 9).tolist() == [0, 0.5, 1, 1.5, 2, 2.5, 3, 3.5, 4]
+    assert iterative.resample(np.array([0.0, 2, 4]), 4).tolist() == [0.5, 1.5, 2.5, 3.5]
+    assert iterative.pair_bits(np.array([9.0, 0, 5, 1]), np.array([0.0, 1, 5, 2]), 4) == 0b010
+
+
+def test_speed():
+    assert iterative.speed(np.array([0.005, 1, 2, 3])) == 1  # mean step 0.998, first step 0.995
+    assert iterative.speed(np.array([0.005, 3, 4])) == 2  # mean step 1.9975, first step 2.995
+    assert iterative.speed(np.array([10, 8, 7])) == 1 and iterative.speed(np.array([5.0, 10, 14, 12, 11])) == 2
+    assert iterative.speed(np.array([1, 0.01, 0.5, -3])) == 1 and iterative.speed(np.array([1, 0.009, 5])) == 0
+    assert iterative.speed(np.array([0.0, 0.01, -0.01])) == 0
+
+
+def test_factor_codes(spark):
+    code = lambda v, **x: series.factor_codes(_series(spark, v), ["k"], ["t"], "v", **x).first().code
+    assert code([1, 2, 3, 4, 5]) == 1111 and code([5, 4, 3, 2, 1]) == 1000
+    assert code([1, 2, 3, 2, 1, 2, 3, 3]) == 1110  # newest first: 3 3, 2 3, then the fall 2 1
+    assert code([1, 2, 3, 2, 3, 2]) == 1 and code([1, 2]) == 0  # one confirmed move only
+    assert code([1, 1, 1, 9], sums=True) == 1 and code([1, 1, 1, 9]) == 0
+    assert [iterative.factor_decode(c) for c in (1011, 1110, 1000, 111)] == [6, 3, 0, 0]
+    two = spark.createDataFrame([("k", i, a, b) for i, (a, b) in enumerate([(1, 0), (1, 2), (3, 3), (4, 5)])], "k string, t int, a int, b int")
+    assert series.factor_pair(two, ["k"], ["t"], "a", "b").first().code == 1010
+    assert series.factor_pair(two.limit(2), ["k"], ["t"], "a", "b").first().code == 0
+
+
+def test_rolling_drift(spark):
+    out = rolling.rolling_drift(_series(spark, DRIFT), ["k"], ["t"], "v", 8).orderBy("t").collect()
+    assert [x.drift for x in out[:4]] == [0, 0, 0, 0] and out[7].drift == pytest.approx(5.5346961)
+    for i in (5, 9, 12):
+        own = series.cubic_drift(_series(spark, DRIFT[max(0, i - 7) : i + 1]), ["k"], ["t"], "v").first().drift
+        assert out[i].drift == pytest.approx(100 * own)
+
+
+def test_quadratic(spark):
+    y = np.array(DRIFT)
+    assert tuple(series.quadratic(_series(spark, y), ["k"], ["t"], "v").first())[1:] == pytest.approx(tuple(np.polynomial.polynomial.polyfit(np.arange(len(y)), y, 2)))
+    assert tuple(series.quadratic(_series(spark, [1, 2]), ["k"], ["t"], "v").first())[1:] == (0, 0, 0)

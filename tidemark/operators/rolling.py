@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numeric import is_zero
+
 LOW, HIGH = 0.001, 0.999
 
 
@@ -67,3 +69,19 @@ def bars(df: DataFrame, keys: Sequence[str], time: str, value: str, width: str,
     agg = df.groupBy(*keys, bucket).agg(F.min_by(value, at).alias("open"), F.max(value).alias("high"), F.min(value).alias("low"), F.max_by(value, at).alias("close"), F.sum(value).alias("total"), F.count("*").alias("n"))
     start = F.col("w.start") if width not in ("day", "month", "year") else F.col("w")
     return agg.select(*keys, start.alias("bucket"), "open", "high", "low", "close", "total", "n")
+
+
+def rolling_drift(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int, out: str = "drift") -> DataFrame:
+    """At each row 100 times the drift (see ``series.cubic_drift``) of the last ``n`` values, as many as there are."""
+    v, k = F.col("__v"), F.size("__v").cast("double")
+    half, square = (k - 1) / 2, k * k
+    total = lambda f: F.aggregate(F.transform(v, f), F.lit(0.0), lambda x, y: x + y)
+    m = total(lambda y: y) / k
+    s2, s4, s6 = k * (square - 1) / 12, k * (square - 1) * (3 * square - 7) / 240, k * (square - 1) * (3 * square * square - 18 * square + 31) / 1344
+    moment = lambda p: total(lambda y, i: F.pow(i.cast("double") - half, F.lit(float(p))) * y) / m
+    t1, t2, t3 = moment(1), moment(2), moment(3)
+    odd = s2 * s6 - s4 * s4
+    c1, c3 = (t1 * s6 - t3 * s4) / odd, (t3 * s2 - t1 * s4) / odd
+    c2 = (k * t2 - s2 * k) / (k * s4 - s2 * s2)
+    drift = F.when((k < 5) | is_zero(m), F.lit(0.0)).otherwise(100 * (c1 + 2 * c2 * half + 3 * c3 * half * half))
+    return df.withColumn("__v", F.collect_list(value).over(frame(keys, order, n))).withColumn(out, drift).drop("__v")

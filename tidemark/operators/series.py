@@ -96,11 +96,11 @@ def _agree(a: str, b: str) -> Column:
 direction = _agree
 
 
-def lagged(df: DataFrame, keys: Sequence[str], pos: str, a: str, b: str, max_lag: int, measure=correlation) -> DataFrame:
+def lagged(df: DataFrame, keys: Sequence[str], pos: str, a: str, b: str, max_lag: int | None = None, measure=correlation) -> DataFrame:
     """For each lag from 0 (``b`` moved back by it): the measure, as long as it doesn't fall; the last one
-    kept is the result.  The lag is at most 0.382 n + 1.  (keys, lag, value)"""
+    kept is the result.  The lag is at most 0.382 n + 1, and ``max_lag`` if given.  (keys, lag, value)"""
     size = df.groupBy(*keys).agg(F.count("*").alias("__n"))
-    lags = size.withColumn("lag", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_lag), F.floor(F.col("__n") * 0.382 + 1).cast("int")))))
+    lags = size.withColumn("lag", F.explode(F.sequence(F.lit(0), F.least(F.lit(max_lag).cast("int"), F.floor(F.col("__n") * 0.382 + 1).cast("int")))))
     x = df.select(*keys, F.col(pos).alias("__p"), F.col(a).alias("__a")).join(lags, list(keys)).withColumn("__q", F.col("__p") + F.col("lag"))
     y = df.select(*keys, F.col(pos).alias("__q"), F.col(b).alias("__b"))
     each = x.join(y, [*keys, "__q"]).groupBy(*keys, "lag").agg(measure("__a", "__b").alias("value"))
@@ -148,6 +148,45 @@ def cubic_drift(df: DataFrame, keys: Sequence[str], order: Sequence[str], value:
     return g.select(*keys, F.when(ok, c1 + 2 * c2 * e + 3 * c3 * e * e).otherwise(0.0).alias("drift"), F.when(ok, 2 * c2 + 6 * c3 * e).otherwise(0.0).alias("acceleration"))
 
 
+def quadratic(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
+    """(c0, c1, c2) of the least-squares parabola over x = 0..n-1, from power sums of centred x; fewer than 3
+    values: 0."""
+    size = df.groupBy(*keys).agg(F.count("*").alias("__n"))
+    p = numbered(df, keys, order).join(size, list(keys)).withColumn("__x", F.col("pos").cast("double") - 1 - (F.col("__n") - 1) / 2)
+    t = lambda k: F.sum(F.pow("__x", F.lit(float(k))) * F.col(value))
+    s = lambda k: F.sum(F.pow("__x", F.lit(float(k))))
+    g = p.groupBy(*keys).agg(F.first("__n").alias("n"), s(2).alias("s2"), s(4).alias("s4"), F.sum(value).alias("t0"), t(1).alias("t1"), t(2).alias("t2"))
+    n, s2 = F.col("n"), F.col("s2")
+    e, b2 = (n - 1) / 2, (n * F.col("t2") - s2 * F.col("t0")) / (n * F.col("s4") - s2 * s2)
+    b1, b0 = F.col("t1") / s2, (F.col("t0") - b2 * s2) / n
+    found = {"c0": b0 - b1 * e + b2 * e * e, "c1": b1 - 2 * b2 * e, "c2": b2}
+    return g.select(*keys, *[F.when(n > 2, c).otherwise(0.0).alias(name) for name, c in found.items()])
+
+
+def factor_codes(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, level: int = 3, sums: bool = False, out: str = "code") -> DataFrame:
+    """Each key's newest confirmed moves as decimal digits, the newest first: 1 where a value doesn't fall after a
+    rise, 0 where it falls after a fall; with ``sums``, also where it is above (below) the sum of the three
+    values before it.  At most ``level`` moves, looked for from position ``level`` on; 10^level marks that there
+    are so many."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    v, (a, b, c) = F.col(value), [F.lag(value, i).over(w) for i in (1, 2, 3)]
+    over, under = (v > a + b + c, v < a + b + c) if sums else (F.lit(False), F.lit(False))
+    digit = F.when((v >= a) & ((a > b) | over), 1).when((v < a) & ((a < b) | under), 0)
+    rows = df.select(*keys, *order, digit.alias("__d"), F.row_number().over(w).alias("__p")).where((F.col("__p") >= max(3, level)) & F.col("__d").isNotNull())
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(x) for x in order]))
+    found = rows.withColumn("__r", newest).where(F.col("__r") <= level).groupBy(*keys).agg(F.sum(F.col("__d") * F.pow(F.lit(10.0), -F.col("__r"))).alias("__s"), F.count("*").alias("__n"))
+    code = F.round(F.col("__s") * F.pow(F.lit(10.0), F.col("__n"))) + F.when(F.col("__n") >= level, F.lit(10.0**level)).otherwise(0.0)
+    return df.select(*keys).distinct().join(found.select(*keys, code.cast("int").alias(out)), list(keys), "left").na.fill(0, [out])
+
+
+def factor_pair(df: DataFrame, keys: Sequence[str], order: Sequence[str], a: str, b: str, out: str = "code") -> DataFrame:
+    """Of the newest three rows, a digit 1 where ``a`` isn't below ``b``, the newest first, after a 1; fewer rows: 0."""
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(x) for x in order]))
+    g = df.withColumn("__r", newest).where("__r <= 3").groupBy(*keys)
+    digits = F.sum(F.when(F.col(a) >= F.col(b), F.pow(F.lit(10.0), F.lit(3) - F.col("__r"))).otherwise(0.0))
+    return g.agg(F.when(F.count("*") < 3, 0).otherwise((digits + 1000).cast("int")).alias(out))
+
+
 def trend(newest_first: Column) -> Column:
     """+1 if an array, newest first, strictly falls (the series rises), -1 if it strictly rises, else 0."""
     n = F.size(newest_first)

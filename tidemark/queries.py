@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -414,13 +416,19 @@ def d5_fibonacci_avg(spark, d):
     return series.fibonacci_average(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("user_id", r("fib_avg").alias("fib_avg"))
 
 
-@query()
+#: The warm-up mean of a list: its first value, then the weights by how many values came before.
+_WARM = "CASE WHEN len({l}) = 0 THEN 0.0 ELSE list_reduce({l}, lambda m, x, i: CASE WHEN i <= 10 THEN m * (1 - 1.0::DOUBLE / 10) + x * (1.0::DOUBLE / 10) WHEN i <= 100 THEN m * (1 - 1.0::DOUBLE / i) + x * (1.0::DOUBLE / i) ELSE m * (1 - 1.0::DOUBLE / 100) + x * (1.0::DOUBLE / 100) END) END"
+
+
+@query(f"WITH l AS (SELECT user_id, list(value ORDER BY ts, event_id) FILTER (abs(value) >= 1e-7) AS l FROM events GROUP BY 1) SELECT user_id, round({_WARM.format(l='l')}, 6) AS warm_mean FROM l")
 def d6_warm_mean(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(series.as_array("value", ["ts", "event_id"]).alias("v"))
     return e.select("user_id", r(series.warm_mean(F.col("v"))).alias("warm_mean"))
 
 
-@query()
+@query(f"""WITH g AS (SELECT l_suppkey, l_shipdate, sum(l_quantity) AS son, sum(l_extendedprice) AS mom FROM lineitem GROUP BY 1, 2),
+          l AS (SELECT l_suppkey, list(son ORDER BY l_shipdate) AS s, list(mom ORDER BY l_shipdate) AS m FROM g WHERE abs(son) >= 1e-7 AND abs(mom) >= 1e-7 GROUP BY 1)
+          SELECT l_suppkey, round({_WARM.format(l='s')} / {_WARM.format(l='m')}, 8) AS warm_ratio FROM l""")
 def d7_warm_ratio(spark, d):
     li = table(spark, d, "lineitem").groupBy("l_suppkey", "l_shipdate").agg(F.sum("l_quantity").alias("son"), F.sum("l_extendedprice").alias("mom"))
     pairs = li.groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct("l_shipdate", "son", "mom"))).alias("p"))
@@ -443,7 +451,7 @@ def d8_corr(spark, d):
     return _pairs(spark, d).groupBy("k").agg(r(series.correlation("a", "b")).alias("corr"))
 
 
-_LAG = """, n AS (SELECT k, count(*) AS n FROM s GROUP BY 1), g AS (SELECT k, unnest(range(0, CAST(least(5, floor(n * 0.382 + 1)) AS INTEGER) + 1)) AS lag FROM n),
+_LAG = """, n AS (SELECT k, count(*) AS n FROM s GROUP BY 1), g AS (SELECT k, unnest(range(0, CAST(floor(n * 0.382 + 1) AS INTEGER) + 1)) AS lag FROM n),
           j AS (SELECT g.k, g.lag, x.a, y.b FROM g JOIN s x ON x.k = g.k JOIN s y ON y.k = g.k AND y.pos = x.pos + g.lag),
           e AS (SELECT k, lag, {measure} AS v FROM j GROUP BY 1, 2),
           f AS (SELECT *, CASE WHEN v < lag(v) OVER (PARTITION BY k ORDER BY lag) THEN 1 ELSE 0 END AS fell FROM e),
@@ -456,7 +464,7 @@ _DIRECTION = """CASE WHEN count(*) FILTER (a * b > 0) > count(*) - count(*) FILT
 @query(f"WITH {_PAIR}" + _LAG.replace("{measure}", "round(coalesce(corr(a, b), 0), 9)"))
 def d9_corr_lag(spark, d):
     measure = lambda a, b: F.round(series.correlation(a, b), 9)
-    return series.lagged(_pairs(spark, d), ["k"], "pos", "a", "b", 5, measure).select("k", F.col("lag").cast("int").alias("lag"), r("value").alias("value"))
+    return series.lagged(_pairs(spark, d), ["k"], "pos", "a", "b", None, measure).select("k", F.col("lag").cast("int").alias("lag"), r("value").alias("value"))
 
 
 def _moves(spark, d) -> DataFrame:
@@ -476,7 +484,7 @@ def d10_direction(spark, d):
 
 @query(f"WITH {_MOVE_SQL}" + _LAG.replace("{measure}", _DIRECTION))
 def d11_direction_lag(spark, d):
-    return series.lagged(_moves(spark, d), ["k"], "pos", "a", "b", 5, series.direction).select("k", F.col("lag").cast("int").alias("lag"), r("value").alias("value"))
+    return series.lagged(_moves(spark, d), ["k"], "pos", "a", "b", None, series.direction).select("k", F.col("lag").cast("int").alias("lag"), r("value").alias("value"))
 
 
 _MONTH = "m AS (SELECT o_orderpriority AS k, date_trunc('month', o_orderdate) AS t, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS pos, count(*) OVER (PARTITION BY k) AS n FROM m)"
@@ -486,12 +494,14 @@ def _monthly(spark, d) -> DataFrame:
     return table(spark, d, "orders").groupBy(F.col("o_orderpriority").alias("k"), F.date_trunc("month", "o_orderdate").alias("t")).agg(F.sum("o_totalprice").alias("v"))
 
 
-@query()
+@query(f"""WITH {_MONTH}, a AS (SELECT k, avg(v) AS mean FROM s GROUP BY 1), x AS (SELECT k, n, pos - 1 - (n - 1) / 2.0 AS x, v / mean AS y FROM s JOIN a USING (k)),
+          g AS (SELECT k, max(n) AS n, (max(n) - 1) / 2.0 AS e, sum(x ** 2) AS s2, sum(x ** 4) AS s4, sum(y) AS t0, sum(x * y) AS t1, sum(x ** 2 * y) AS t2 FROM x GROUP BY 1),
+          b AS (SELECT *, (n * t2 - s2 * t0) / (n * s4 - s2 * s2) AS b2, t1 / s2 AS b1 FROM g)
+          SELECT k, round((t0 - b2 * s2) / n - b1 * e + b2 * e * e, 6) AS c0, round(b1 - 2 * b2 * e, 6) AS c1, round(b2, 6) AS c2 FROM b""")
 def d12_polynomial(spark, d):
-    from tidemark.operators import iterative
-
-    fit = lambda y: tuple(round(float(c), 3) for c in iterative.polynomial(y / y.mean() if len(y) else y, 2))
-    return iterative.per_key(_monthly(spark, d), ["k"], ["t"], "v", fit, "c0 double, c1 double, c2 double")
+    m = _monthly(spark, d)
+    m = m.join(m.groupBy("k").agg(F.avg("v").alias("mean")), "k").withColumn("y", F.col("v") / F.col("mean"))
+    return series.quadratic(m, ["k"], ["t"], "y").select("k", *[r(c).alias(c) for c in ("c0", "c1", "c2")])
 
 
 @query(f"WITH {_MONTH} SELECT k, round(regr_slope(v, pos), 3) AS slope, round(regr_intercept(v, pos), 3) AS intercept FROM s GROUP BY 1")
@@ -520,7 +530,10 @@ def d16_acceleration(spark, d):
     return series.cubic_drift(_monthly(spark, d), ["k"], ["t"], "v").select("k", r("acceleration").alias("acceleration"))
 
 
-@query()
+_CUBIC_NORM = _CUBIC.replace("a AS (SELECT k, avg(v)", "e0 AS (SELECT k, min(v) AS lo, max(v) AS hi FROM s GROUP BY 1), z AS (SELECT k, pos, n, 0.001 + (v - lo) / (hi - lo) * 0.998 AS v FROM s JOIN e0 USING (k)), a AS (SELECT k, avg(v)").replace("AS mean FROM s GROUP BY 1", "AS mean FROM z GROUP BY 1").replace("AS y FROM s JOIN a", "AS y FROM z JOIN a")
+
+
+@query(f"{_CUBIC_NORM} SELECT k, round(c1 + 2 * c2 * e + 3 * c3 * e * e, 6) AS drift, round(2 * c2 + 6 * c3 * e, 6) AS acceleration FROM c")
 def d17_normalised_drift(spark, d):
     n = rolling.minmax_normalise(_monthly(spark, d), ["k"], "v")
     return series.cubic_drift(n, ["k"], ["t"], "norm").select("k", r("drift").alias("drift"), r("acceleration").alias("acceleration"))
@@ -547,27 +560,48 @@ def _arrays(spark, d, n: int = 0) -> DataFrame:
     return m.groupBy("k").agg(series.as_array("v", ["t"]).alias("v"))
 
 
-@query()
+#: Back from each key's last value a: the first new extreme that {far}, and where the new ones end.
+_TURN = """, r AS (SELECT k, v, row_number() OVER w - 1 AS i, first_value(v) OVER w AS a, count(*) OVER p AS n, min(v) OVER p AS lo, max(v) OVER p AS hi FROM s WINDOW w AS (PARTITION BY k ORDER BY t DESC), p AS (PARTITION BY k)),
+          x AS (SELECT *, coalesce(v > max(v) OVER q, false) AS up, coalesce(v < min(v) OVER q, false) AS dn FROM r WINDOW q AS (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+          h AS (SELECT k, min(i) FILTER (up AND (v - a) / a > {far}) AS u0, min(i) FILTER (dn AND (a - v) / a > {far}) AS d0 FROM x GROUP BY 1),
+          e AS (SELECT k, max(n) AS n, max(u0) AS u0, max(d0) AS d0, min(i) FILTER (NOT up AND i > u0) AS u1, min(i) FILTER (NOT dn AND i > d0) AS d1 FROM x JOIN h USING (k) GROUP BY 1),
+          g AS (SELECT k, n, CASE WHEN u0 IS NOT NULL THEN coalesce(u1, n) - 1 END AS u, CASE WHEN d0 IS NOT NULL THEN coalesce(d1, n) - 1 END AS d FROM e),
+          f AS (SELECT *, least(coalesce(u, n - 1), coalesce(d, n - 1)) AS far_i FROM g)"""
+
+
+@query(f"""WITH {_MONTH}{_TURN.format(far="0.05")}, l AS (SELECT k, regr_slope(0.001 + (v - lo) / (hi - lo) * 0.998, far_i - i) AS c1, regr_intercept(0.001 + (v - lo) / (hi - lo) * 0.998, far_i - i) AS c0 FROM x JOIN f USING (k) WHERE i <= far_i GROUP BY 1)
+          SELECT k, CASE WHEN u IS NULL AND d IS NULL THEN 0 WHEN far_i = u THEN -1 ELSE 1 END AS direction, CAST(f.n - 1 - far_i AS INTEGER) AS start,
+                 round(CASE WHEN far_i = f.n - 1 THEN (a - ((hi - lo) * c0 / 0.998 + lo)) / a ELSE (a - v) / a END, 6) AS change, round(c1, 6) AS slope
+          FROM f JOIN x USING (k) JOIN l USING (k) WHERE i = far_i""")
 def d20_nearest_trend(spark, d):
     from tidemark.operators import iterative
 
-    one = lambda y: (lambda x: (x[0], x[1], round(x[2], 6), round(x[3], 3)))(iterative.nearest_trend(y, 0.05))
-    return iterative.per_key(_monthly(spark, d), ["k"], ["t"], "v", one, "direction int, offset int, change double, slope double")
+    def one(y):
+        direction, start, change, slope = iterative.nearest_trend(y, 0.05, y.min(), y.max())
+        return direction, start, round(change, 6), round(slope, 6)
 
+    return iterative.per_key(_monthly(spark, d), ["k"], ["t"], "v", one, "direction int, start int, change double, slope double")
 
-@query()
+
+@query(f"WITH {_MONTH}{_TURN.format(far='-1')} SELECT k, round(CASE WHEN u IS NULL AND d IS NULL THEN 0 ELSE a - v END, 2) AS difference FROM f JOIN x USING (k) WHERE i = far_i")
 def d21_nearest_diff(spark, d):
     return _arrays(spark, d).select("k", r(series.nearest_difference(F.col("v")), 2).alias("difference"))
 
 
-@query()
+#: One step of the resampling of a list to {n} points.
+_RESAMPLE = "CASE WHEN len({l}) < {n} THEN list_transform(range(1, 2 * len({l})), lambda i: CASE WHEN i % 2 = 1 THEN {l}[(i + 1) // 2] ELSE ({l}[i // 2] + {l}[i // 2 + 1]) / 2 END) ELSE list_transform(range(1, len({l})), lambda i: ({l}[i] + {l}[i + 1]) / 2) END"
+
+
+@query(f"""WITH RECURSIVE {_MONTH}, w AS (SELECT k, list(v ORDER BY t) AS l FROM s GROUP BY 1 UNION ALL SELECT k, {_RESAMPLE.format(l="l", n=8)} FROM w WHERE len(l) <> 8 AND len(l) > 1)
+          SELECT k, CAST(list_sum(list_transform(range(1, 8), lambda i: CASE WHEN l[i + 1] >= l[i] THEN 1 << (i - 1) ELSE 0 END)) AS INTEGER) AS bits FROM w WHERE len(l) = 8""")
 def d22_trend_bits(spark, d):
     from tidemark.operators import iterative
 
     return iterative.per_key(_monthly(spark, d), ["k"], ["t"], "v", lambda y: iterative.trend_bits(y, 7), "bits int")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PAIR}, w AS (SELECT k, list(a ORDER BY t) AS a, list(b ORDER BY t) AS b FROM s GROUP BY 1 UNION ALL SELECT k, {_RESAMPLE.format(l="a", n=7)}, {_RESAMPLE.format(l="b", n=7)} FROM w WHERE len(a) <> 7 AND len(a) > 1)
+          SELECT k, CAST(list_sum(list_transform(range(2, 8), lambda i: CASE WHEN a[i] >= b[i] THEN 1 << (i - 2) ELSE 0 END)) AS INTEGER) AS bits FROM w WHERE len(a) = 7""")
 def d23_pair_bits(spark, d):
     from tidemark.operators import iterative
 
@@ -581,12 +615,22 @@ def d23_pair_bits(spark, d):
     return m.mapInPandas(run, "k string, bits int")
 
 
-@query()
-def d24_factor_codes(spark, d):
-    from tidemark.operators import iterative
+def _factor_sql(name: str, sums: str) -> str:
+    over, under = (" OR v > a + b + c", " OR v < a + b + c") if sums else ("", "")
+    return f"""{name}_d AS (SELECT k, t, CASE WHEN v >= a AND (a > b{over}) THEN 1 WHEN v < a AND (a < b{under}) THEN 0 END AS d FROM g WHERE pos >= 3),
+          {name}_n AS (SELECT k, d, row_number() OVER (PARTITION BY k ORDER BY t DESC) AS nth FROM {name}_d WHERE d IS NOT NULL QUALIFY nth <= 3),
+          {name} AS (SELECT k, CAST(string_agg(d, '' ORDER BY nth) AS INTEGER) + CASE WHEN count(*) = 3 THEN 1000 ELSE 0 END AS code FROM {name}_n GROUP BY 1)"""
+
 
-    code = lambda y: (lambda c: (c, iterative.factor_decode(c)))(iterative.factor_code([bool(b > a) for a, b in zip(y[-4:], y[-3:], strict=False)]))
-    return iterative.per_key(_monthly(spark, d), ["k"], ["t"], "v", code, "code int, decoded int")
+@query(f"""WITH {_MONTH}, g AS (SELECT k, t, v, pos, lag(v, 1) OVER w AS a, lag(v, 2) OVER w AS b, lag(v, 3) OVER w AS c FROM s WINDOW w AS (PARTITION BY k ORDER BY t)),
+          {_factor_sql("plain", "")}, {_factor_sql("eight", "sums")}, p3 AS (SELECT k, CASE WHEN v >= a THEN 1 ELSE 0 END AS d, row_number() OVER (PARTITION BY k ORDER BY t DESC) AS nth FROM g QUALIFY nth <= 3),
+          pair AS (SELECT k, CASE WHEN count(*) < 3 THEN 0 ELSE CAST(string_agg(d, '' ORDER BY nth) AS INTEGER) + 1000 END AS pair FROM p3 GROUP BY 1)
+          SELECT DISTINCT s.k, coalesce(plain.code, 0) AS code, coalesce(eight.code, 0) AS eight, pair.pair FROM s LEFT JOIN plain USING (k) LEFT JOIN eight USING (k) LEFT JOIN pair USING (k)""")
+def d24_factor_codes(spark, d):
+    m = _monthly(spark, d)
+    before = m.withColumn("before", F.lag("v").over(Window.partitionBy("k").orderBy("t")))
+    codes = series.factor_codes(m, ["k"], ["t"], "v").join(series.factor_codes(m, ["k"], ["t"], "v", sums=True, out="eight"), "k")
+    return codes.join(series.factor_pair(before, ["k"], ["t"], "v", "before", "pair"), "k")
 
 
 @query("""WITH m AS (SELECT o_custkey, o_orderdate, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2),
@@ -599,7 +643,11 @@ def d25_trend(spark, d):
     return a.select("o_custkey", series.trend(F.col("v")).alias("trend"))
 
 
-@query()
+@query(f"""WITH {_MONTH}, x AS (SELECT k, v - avg(v) OVER (PARTITION BY k) AS x, row_number() OVER (PARTITION BY k ORDER BY t DESC) - 1 AS i, n FROM s),
+          b AS (SELECT k, arg_min(CASE WHEN x > 0 THEN 1 ELSE -1 END, i) AS sign, min(i) AS i0 FROM x WHERE abs(x) > 0.01 GROUP BY 1),
+          c AS (SELECT k, max(sign) AS sign, coalesce(min(i) FILTER (i > i0 AND sign * x < 0.01), max(n)) AS c FROM x JOIN b USING (k) GROUP BY 1),
+          m2 AS (SELECT k, max(sign) AS sign, max(c) AS c, max(x) FILTER (i = 0) AS x0, max(x) FILTER (i = 1) AS x1, max(x) FILTER (i = c - 1) AS xn FROM x JOIN c USING (k) GROUP BY 1)
+          SELECT s.k, CAST(coalesce(max(CASE WHEN c < 3 THEN 0 WHEN sign * ((xn - x0) / (c - 1) - (x1 - x0)) > 0 THEN sign ELSE 2 * sign END), 0) AS INTEGER) AS speed FROM s LEFT JOIN m2 USING (k) GROUP BY 1""")
 def d26_speed(spark, d):
     from tidemark.operators import iterative
 
@@ -741,12 +789,14 @@ def e2_last_k_avg(spark, d):
     return rolling.last_avg(table(spark, d, "events"), *UE, "value", 3).select("event_id", r("last_avg").alias("last_avg"))
 
 
-@query()
+@query(f"""WITH w AS (SELECT event_id, list(value) OVER ({_E} ROWS 19 PRECEDING) AS l FROM events),
+          q AS (SELECT event_id, CAST(len(l) AS DOUBLE) AS n, (len(l) - 1) / 2.0 AS e, list_avg(l) AS m, list_transform(range(1, len(l) + 1), lambda i: i - 1 - (len(l) - 1) / 2.0) AS x, l FROM w),
+          g AS (SELECT event_id, n, e, m, list_sum([z ** 2 FOR z IN x]) AS s2, list_sum([z ** 4 FOR z IN x]) AS s4, list_sum([z ** 6 FOR z IN x]) AS s6, n AS t0,
+                       list_sum(list_transform(l, lambda v, i: v * x[i])) / m AS t1, list_sum(list_transform(l, lambda v, i: v * x[i] ** 2)) / m AS t2, list_sum(list_transform(l, lambda v, i: v * x[i] ** 3)) / m AS t3 FROM q),
+          c AS (SELECT *, (t1 * s6 - t3 * s4) / nullif(s2 * s6 - s4 * s4, 0) AS c1, (t3 * s2 - t1 * s4) / nullif(s2 * s6 - s4 * s4, 0) AS c3, (n * t2 - s2 * t0) / nullif(n * s4 - s2 * s2, 0) AS c2 FROM g)
+          SELECT event_id, round(CASE WHEN n < 5 OR abs(m) < 1e-7 THEN 0 ELSE 100 * (c1 + 2 * c2 * e + 3 * c3 * e * e) END, 4) AS drift FROM c""")
 def e3_rolling_drift(spark, d):
-    from tidemark.operators import iterative
-
-    e = lookup.last_rows(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], 20)
-    return iterative.per_key(e, ["user_id"], ["ts", "event_id"], "value", lambda y: round(iterative.rolling_drift(y, 20), 6), "drift double")
+    return rolling.rolling_drift(table(spark, d, "events"), *UE, "value", 20).select("event_id", r("drift", 4).alias("drift"))
 
 
 @query(f"WITH s AS (SELECT event_id, user_id, ts, abs((value - lag(value) OVER ({_E})) / nullif(value, 0)) AS s FROM events) SELECT event_id, round(avg(s) OVER ({_E} ROWS 9 PRECEDING), 6) AS volatility FROM s")
@@ -873,12 +923,12 @@ def h1_strings(spark, d):
 
 
 @query("""SELECT p_partkey, 'f' || p_size AS name, p_brand AS args, CAST(regexp_extract(p_size || ' units', '^[0-9]+') AS BIGINT) AS lead_int,
-          CASE WHEN instr(p_name, 'a') > 0 THEN regexp_replace(p_name, 'a', 'A') ELSE '' END AS once, 'SSE' AS market, CASE WHEN p_size % 2 = 0 THEN p_partkey || '.SSE' ELSE 'SZ' || p_partkey END AS swapped FROM part""")
+          CASE WHEN instr(p_name, 'a') > 0 THEN regexp_replace(p_name, 'a', 'A') ELSE '' END AS once, CASE WHEN p_size % 2 = 0 THEN p_partkey || '.SSE' ELSE 'SZ' || p_partkey END AS swapped FROM part""")
 def h1_calls_and_affixes(spark, d):
     p = table(spark, d, "part")
     call = strings.call_parts(F.concat(F.lit("f"), F.col("p_size").cast("string"), F.lit("("), F.col("p_brand"), F.lit(")")))
     code = F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("SH"), F.col("p_partkey").cast("string"))).otherwise(F.concat(F.col("p_partkey").cast("string"), F.lit(".SZE")))
-    return p.select("p_partkey", call["name"].alias("name"), call["args"].alias("args"), strings.leading_int(F.concat(F.col("p_size").cast("string"), F.lit(" units"))).alias("lead_int"), strings.replace_first(F.col("p_name"), "a", "A").alias("once"), F.lit("SSE").alias("market"), strings.affix_swap(code, {"SH": "SSE", "SZ": "SZE"}).alias("swapped"))
+    return p.select("p_partkey", call["name"].alias("name"), call["args"].alias("args"), strings.leading_int(F.concat(F.col("p_size").cast("string"), F.lit(" units"))).alias("lead_int"), strings.replace_first(F.col("p_name"), "a", "A").alias("once"), strings.affix_swap(code, {"SH": "SSE", "SZ": "SZE"}).alias("swapped"))
 
 
 @query("""SELECT event_id, year(ts) AS y, CAST(strftime(ts, '%Y%m') AS BIGINT) AS ym, CAST(strftime(ts, '%Y%m%d') AS BIGINT) AS ymd, CAST(strftime(ts, '%H%M%S') AS BIGINT) AS hms, CAST(strftime(ts, '%H%M') AS BIGINT) AS hm, second(ts) AS s,
@@ -918,9 +968,9 @@ def h3_bits(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.bit_count(k).alias("ones"), F.getbit(k, F.lit(3)).cast("int").alias("bit3"), k.bitwiseAND(F.lit(numeric.low_mask(8)).cast("long")).alias("low"), numeric.remove_bit(k, 2).alias("cleared"))
 
 
-@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, 5)) AS i FROM embeddings)")
+@query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, CAST(embedding[i] AS DOUBLE) AS value FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def h4_flatten(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.posexplode(F.slice("embedding", 1, 4)).alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
+    return table(spark, d, "embeddings").select("vec_id", F.posexplode("embedding").alias("pos", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 @query("SELECT event_id, CAST(json_array_length('[' || (props ->> '$.k') || ',2,3]') AS INTEGER) AS n, json_valid(props) AS ok FROM events")
@@ -961,30 +1011,33 @@ def h11_h12_codecs(spark, d):
 # ---------------------------------------------------------------- I: streams, run to their end and compared with SQL
 
 
-def _streamed(spark, d, transform, files: str = "events", mode: str = "append") -> DataFrame:
-    """The result of a stream over a table's files, in micro-batches until all is read."""
-    import uuid
-
-    from tidemark.streaming import stream
+def _stream_root(spark: SparkSession) -> str:
+    """A new folder in the shared one that the session names; a local one only on local Spark without any."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="tidemark-streams-")
+    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:10]}"
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/tidemark-streams"
-    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex[:10]}"
-    schema = table(spark, d, files).schema
-    path = f"{d}/{files}.parquet"
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    folder = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory()
-    raw = spark.readStream.schema(schema).parquet(path) if folder else spark.readStream.schema(schema).option("pathGlobFilter", f"{files}.parquet").parquet(d)
-    out = transform(raw)
-    schema = out.schema
 
-    def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("append").parquet(f"{root}/out")
+def _streamed(spark, d, transform, files: str = "events", mode: str = "append", arrivals: list[str] | None = None) -> DataFrame:
+    """The result of a stream over a table, in micro-batches until all is read: over its files, or over one
+    batch for each of the conditions ``arrivals``, in this order."""
+    from tidemark.streaming import stream
 
-    q = out.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
-    if not q.awaitTermination(300):
-        q.stop()
-        raise TimeoutError("the stream did not end")
-    return stream.result(spark, f"{root}/out", schema)
+    root, schema = _stream_root(spark), table(spark, d, files).schema
+    if arrivals is None:
+        path = f"{d}/{files}.parquet"
+        jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory()
+        raw = spark.readStream.schema(schema).parquet(path) if folder else spark.readStream.schema(schema).option("pathGlobFilter", f"{files}.parquet").parquet(d)
+        return stream.drain(transform(raw), root, mode)
+    out = None
+    for condition in arrivals:
+        table(spark, d, files).where(condition).write.mode("append").parquet(f"{root}/in")
+        out = stream.drain(transform(stream.source(spark, f"{root}/in", schema)), root, mode)
+    return out
 
 
 @query("SELECT event_id, user_id, event_type FROM events WHERE user_id IN (3, 11, 42)")
@@ -1009,9 +1062,12 @@ def i6_publish_known_only(spark, d):
     return _streamed(spark, d, lambda s: stream.known_only(s, known, "user_id").select("event_id", "user_id"))
 
 
+_TWICE = ["event_id % 2 = 0", "event_id % 2 = 1"]  # all rows, in two batches
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def i7_microbatch(spark, d):
-    return _streamed(spark, d, lambda s: s.groupBy("event_type").agg(F.count("*").alias("n")), mode="complete")
+    return _streamed(spark, d, lambda s: s.groupBy("event_type").agg(F.count("*").alias("n")), mode="complete", arrivals=_TWICE)
 
 
 @query("""WITH m AS (SELECT 'orders' AS tbl, 0 AS t, epoch_ms(o_orderdate) + 86399999 AS ms, lpad(CAST(o_orderkey AS VARCHAR), 20, '0') AS seq FROM orders UNION ALL SELECT 'events', 1, CAST(floor(epoch_us(ts) / 1000) AS BIGINT), lpad(CAST(event_id AS VARCHAR), 20, '0') FROM events)
@@ -1021,25 +1077,31 @@ def i12_replay(spark, d):
     return asof.replay(m).select(F.col("table").alias("tbl"), F.col("time").alias("time_ms"), "seq")
 
 
-@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-08' GROUP BY 1")
+@query("""WITH e AS (SELECT *, CAST(ts AS DATE) AS day FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-08')
+          SELECT strftime(day, '%Y-%m-%d') AS day, event_id, row_number() OVER (PARTITION BY day ORDER BY ts, event_id) AS nth, dense_rank() OVER (ORDER BY day) AS nth_day FROM e""")
 def i14_multi_day_replay(spark, d):
-    e = table(spark, d, "events").where((F.col("ts") >= ntz("2024-01-03")) & (F.col("ts") < ntz("2024-01-08")))
-    return e.groupBy(day("ts").alias("day")).agg(F.count("*").alias("n"))
+    """Day after day, each in time order; days without rows are passed over."""
+    from tidemark.streaming import stream
+
+    return stream.replay_days(table(spark, d, "events"), "ts", ["event_id"], "2024-01-03", "2024-01-07").select("day", "event_id", "nth", "nth_day")
 
 
-@query("SELECT user_id, event_type, min(event_id) IS NOT NULL AS seen FROM events GROUP BY 1, 2")
-def i23_watermark_dedupe(spark, d):
+@query("""WITH late AS (SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-15'), kept AS (SELECT * FROM events WHERE ts >= TIMESTAMP '2024-01-15'
+          UNION ALL SELECT * FROM late WHERE ts > (SELECT max(ts) FROM events) - INTERVAL '20 days')
+          SELECT event_id FROM kept""")
+def i23_watermark_late(spark, d):
+    """The second batch holds rows before those of the first: what is more than 20 days late is dropped."""
     from tidemark.streaming import stream
 
-    out = _streamed(spark, d, lambda s: stream.dedupe_late(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "60 days", ["user_id", "event_type"]).select("user_id", "event_type"))
-    return out.withColumn("seen", F.lit(True))
+    keep = lambda s: stream.dedupe_late(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "20 days", ["event_id"]).select("event_id")
+    return _streamed(spark, d, keep, arrivals=["ts >= timestamp_ntz'2024-01-15'", "ts < timestamp_ntz'2024-01-15'"])
 
 
 @query("SELECT event_type, strftime(time_bucket(INTERVAL '6 hours', ts), '%Y-%m-%d %H:%M') AS bucket, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def i24_tumbling(spark, d):
     from tidemark.streaming import stream
 
-    w = stream.windowed(table(spark, d, "events"), "ts", "value", ["event_type"], "6 hours")
+    w = _streamed(spark, d, lambda s: stream.windowed(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", ["event_type"], "6 hours"), mode="complete", arrivals=_TWICE)
     return w.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("bucket"), "n", r("total", 4).alias("total"))
 
 
@@ -1048,7 +1110,7 @@ def i24_tumbling(spark, d):
 def i24_sliding(spark, d):
     from tidemark.streaming import stream
 
-    w = stream.windowed(table(spark, d, "events"), "ts", "value", ["event_type"], "12 hours", "6 hours")
+    w = _streamed(spark, d, lambda s: stream.windowed(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", ["event_type"], "12 hours", "6 hours"), mode="complete", arrivals=_TWICE)
     return w.select("event_type", F.date_format("w.start", "yyyy-MM-dd HH:mm").alias("bucket"), "n", r("total", 4).alias("total"))
 
 
@@ -1058,19 +1120,74 @@ def i24_sliding(spark, d):
 def i24_session(spark, d):
     from tidemark.streaming import stream
 
-    w = stream.sessions(table(spark, d, "events"), "ts", "value", ["user_id"], "2 hours")
+    w = _streamed(spark, d, lambda s: stream.sessions(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", ["user_id"], "2 hours"), mode="complete", arrivals=_TWICE)
     return w.select("user_id", F.unix_micros(F.col("w.start").cast("timestamp")).alias("start_us"), "n", r("total", 4).alias("total"))
 
 
-@query()
+@query("""WITH w AS (SELECT *, epoch_us(time_bucket(INTERVAL '1 day', ts)) AS b FROM events), p AS (SELECT event_type, b, count(*) AS n FROM w GROUP BY 1, 2)
+          SELECT event_type, strftime(make_timestamp(b), '%Y-%m-%d') AS day, n FROM p WHERE b + 86400000000 <= (SELECT epoch_us(max(ts)) - 2 * 86400000000 FROM events)""")
+def i24_closed_windows(spark, d):
+    """Append mode: only windows that the watermark has passed are given, once each."""
+    from tidemark.streaming import stream
+
+    w = _streamed(spark, d, lambda s: stream.windowed(s.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "value", ["event_type"], "1 day", delay="2 days"))
+    return w.select("event_type", F.date_format("w.start", "yyyy-MM-dd").alias("day"), "n")
+
+
+@query(f"WITH l AS (SELECT user_id, list(value ORDER BY ts) FILTER (abs(value) >= 1e-7) AS l FROM events GROUP BY 1) SELECT user_id, CAST(len(l) AS BIGINT) AS n, round({_WARM.format(l='l')}, 6) AS warm_mean FROM l")
 def i25_stateful_mean(spark, d):
-    """The state of the warm-up mean after all batches: each key's last row."""
+    """The state of the warm-up mean after two batches: each key's last row."""
     from tidemark.streaming import stream
 
-    out = _streamed(spark, d, lambda s: stream.running_mean(s, "user_id", "ts", "value"), mode="update")
+    halves = ["ts < timestamp_ntz'2024-01-15'", "ts >= timestamp_ntz'2024-01-15'"]
+    out = _streamed(spark, d, lambda s: stream.running_mean(s, "user_id", "ts", "value"), mode="update", arrivals=halves)
     return out.groupBy("user_id").agg(F.max("n").alias("n"), r(F.max_by("mean", "n")).alias("warm_mean"))
 
 
+@query(f"SELECT event_id, round(sum(value) OVER ({_E} ROWS 4 PRECEDING), 6) AS last5 FROM events")
+def i25_stateful_rolling(spark, d):
+    """Rolling sums over five rows of a key, carried from batch to batch as state."""
+    from tidemark.streaming import stream
+
+    halves = ["ts < timestamp_ntz'2024-01-15'", "ts >= timestamp_ntz'2024-01-15'"]
+    return _streamed(spark, d, lambda s: stream.rolling_sum(s, "user_id", ["ts", "event_id"], "value", "event_id", 5), arrivals=halves).select("event_id", r("total").alias("last5"))
+
+
+@query("SELECT event_id, user_id FROM events WHERE user_id IN (11, 42) AND event_id % 2 = 1 OR user_id IN (3, 11) AND event_id % 2 = 0")
+def i3_resubscribe(spark, d):
+    """A second subscription of the same reader replaces the first; ``unsubscribe`` would end it."""
+    from tidemark.streaming import stream
+
+    desk = stream.Subscriptions()
+    root, schema = _stream_root(spark), table(spark, d, "events").schema
+    out = None
+    for condition, keys in zip(_TWICE, ("3,11", "11,42"), strict=True):
+        desk.subscribe("reader", keys)
+        table(spark, d, "events").where(condition).write.mode("append").parquet(f"{root}/in")
+        out = stream.drain(desk.apply(stream.source(spark, f"{root}/in", schema), "reader", "user_id").select("event_id", "user_id"), root, "append")
+    return out
+
+
+@query("SELECT event_id, 'live' AS kind FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND ts > TIMESTAMP '2024-01-10 06:00:00' UNION ALL SELECT event_id, 'history' FROM events WHERE ts < TIMESTAMP '2024-01-20' AND ts > TIMESTAMP '2024-01-10 06:00:00'")
+def i8_start_position(spark, d):
+    """A reader that starts after a time: history up to the running day, then live rows."""
+    from tidemark.streaming import stream
+
+    return stream.from_position(table(spark, d, "events"), "ts", ntz("2024-01-10 06:00:00"), ntz("2024-01-20")).select("event_id", "kind")
+
+
+@query("""WITH e AS (SELECT CAST(event_id AS VARCHAR) AS what, epoch_us(ts) AS us, 0 AS step FROM events WHERE ts >= TIMESTAMP '2024-01-19' AND ts < TIMESTAMP '2024-01-20'),
+          l AS (SELECT CAST(event_id AS VARCHAR) AS what, epoch_us(ts) AS us, 2 AS step FROM events WHERE ts >= TIMESTAMP '2024-01-20' AND ts < TIMESTAMP '2024-01-21'),
+          u AS (SELECT * FROM e UNION ALL SELECT 'caught up', NULL, 1 UNION ALL SELECT * FROM l)
+          SELECT what, row_number() OVER (ORDER BY step, us, what) AS nth FROM u""")
+def i10_catch_up(spark, d):
+    """History, a marker that it is complete, then the running day."""
+    from tidemark.streaming import stream
+
+    e = table(spark, d, "events")
+    return stream.caught_up(e.where("ts >= timestamp_ntz'2024-01-19' AND ts < timestamp_ntz'2024-01-21'"), "ts", "event_id", ntz("2024-01-20")).select("what", "nth")
+
+
 # ---------------------------------------------------------------- J: user functions
 
 
@@ -1093,12 +1210,12 @@ def j7_udaf(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(r(spread("value")).alias("spread"))
 
 
-@query("SELECT n_nationkey, CAST(i AS INTEGER) AS i, substr(n_name, CAST(i + 1 AS INTEGER), 1) AS letter FROM (SELECT *, unnest(range(0, 3)) AS i FROM nation)")
+@query("SELECT n_nationkey, CAST(i AS INTEGER) AS i, substr(n_name, CAST(i + 1 AS INTEGER), 1) AS letter FROM (SELECT *, unnest(range(0, length(n_name))) AS i FROM nation)")
 def j7_udtf(spark, d):
     @F.udtf(returnType="i int, letter string")
     class Letters:
         def eval(self, name: str):
-            yield from enumerate(name[:3])
+            yield from enumerate(name)
 
     spark.udtf.register("letters", Letters)
     table(spark, d, "nation").createOrReplaceTempView("tidemark_nation")
@@ -1109,11 +1226,12 @@ def j7_udtf(spark, d):
 
 
 def _join(how: str, sql_how: str, cols: str):
-    sql = f"SELECT {cols} FROM (SELECT * FROM customer WHERE c_custkey % 3 <> 0) c {sql_how} (SELECT * FROM orders WHERE o_orderkey % 5 = 0) o ON c.c_custkey = o.o_custkey"
+    sql = f"SELECT {cols} FROM customer c {sql_how} orders o ON c.c_custkey = o.o_custkey AND c.c_mktsegment <> 'BUILDING' AND o.o_totalprice > 150000"
 
     def f(spark, d):
-        c, o = table(spark, d, "customer").where("c_custkey % 3 <> 0"), table(spark, d, "orders").where("o_orderkey % 5 = 0")
-        return c.join(o, c.c_custkey == o.o_custkey, how).select(*[x.strip() for x in cols.split(",")])
+        c, o = table(spark, d, "customer"), table(spark, d, "orders")
+        on = (c.c_custkey == o.o_custkey) & (c.c_mktsegment != "BUILDING") & (o.o_totalprice > 150000)  # both sides have rows without a partner
+        return c.join(o, on, how).select(*[x.strip() for x in cols.split(",")])
 
     f.__name__ = f"x_join_{how}"
     query(sql)(f)
