@@ -87,3 +87,23 @@ def price_scale(x: Column, decimals: int, wide: bool = False) -> Column:
     for s in range(min(decimals, most) + 1):
         out = F.when(F.floor(size * 10**s + 0.5) <= limit, F.lit(s)).otherwise(out)
     return F.when(size == 0, F.lit(0)).otherwise(out)
+
+
+def random_int(lo: int, hi: int, seed: int, *by: Column) -> Column:
+    """A whole number of a closed range, in either order, drawn by a row's values and a seed."""
+    lo, hi = min(lo, hi), max(lo, hi)
+    return (F.pmod(F.xxhash64(*by, F.lit(seed)), F.lit(hi - lo + 1)) + lo).cast("int")
+
+
+def random_double(lo: float, hi: float, seed: int, *by: Column) -> Column:
+    """In thousandths, which the ends are cut to; a range without thousandths gives its start."""
+    a, b = int(lo * 1000), int(hi * 1000)
+    return F.lit(float(lo)) if a == b else random_int(a, b, seed, *by) / 1000
+
+
+def random_score(most: int, least: int, seed: int, *by: Column) -> Column:
+    """How many of ``least`` draws from 0 to ``most`` are below ``least``; 0 for bounds below 1 or turned about."""
+    if most < 1 or least < 1 or most < least:
+        return F.lit(0)
+    draws = F.transform(F.sequence(F.lit(1), F.lit(least)), lambda i: random_int(0, most, seed, *by, i))
+    return F.size(F.filter(draws, lambda x: x < least))

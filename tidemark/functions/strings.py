@@ -80,3 +80,45 @@ def hash_bucket(s: Column, n: int) -> Column:
     places = F.sequence(F.lit(0), F.octet_length(s) - 1)
     total = F.aggregate(F.when(F.octet_length(s) > 0, F.transform(places, lambda i: code(i) % n)).otherwise(F.array().cast("array<int>")), F.lit(0), lambda a, x: a + x)
     return total % n
+
+
+def merge(parts: Column, mark: str) -> Column:
+    return F.array_join(parts, mark)
+
+
+def line_around(s: Column, at: Column) -> Column:
+    """The line that holds place ``at`` (from 0) and the one before it, with the line end before both."""
+    before = F.split(F.substr(s, F.lit(1), at + 1), "\n")
+    head = F.array_join(F.slice(before, F.greatest(F.size(before) - 1, F.lit(1)), F.least(F.size(before), F.lit(2))), "\n")
+    head = F.when(F.size(before) > 2, F.concat(F.lit("\n"), head)).otherwise(head)
+    ends = F.substr(s, at + 1, F.lit(1)) == "\n"
+    return F.when(ends, F.rtrim(head, F.lit("\n"))).otherwise(F.concat(head, F.get(F.split(F.substr(s, at + 2), "\n"), F.lit(0))))
+
+
+def around(s: Column, sign: str) -> Column:
+    """Struct of what stands before a sign and after it (null without one), as of 'scheme://rest'."""
+    parts = divide(s, sign)
+    return F.struct(parts[0].alias("before"), parts[1].alias("after"))
+
+
+def token_match(s: Column, part: str, mark: str) -> Column:
+    """0 where the first place of ``part`` ends at a mark or the text's end, 1 where it goes on, -1 without it."""
+    at = F.instr(s, part)
+    after = F.substr(s, at + len(part), F.lit(1))
+    return F.when(at == 0, -1).when((after == "") | (after == mark), 0).otherwise(1)
+
+
+#: The symbols of identifiers.
+CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+LETTERS = CAPITALS + "abcdefghijklmnopqrstuvwxyz"
+
+
+def random_id(key: Column, n: int, seed: int = 0, symbols: str = LETTERS) -> Column:
+    """n symbols drawn by a row's key and a seed: the same again whenever a task is run again."""
+    drawn = F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.substr(F.lit(symbols), (F.pmod(F.xxhash64(key, i, F.lit(seed)), F.lit(len(symbols))) + 1).cast("int"), F.lit(1)))
+    return F.array_join(drawn, "")
+
+
+def time_id(time: Column, key: Column, n: int = 16, seed: int = 0) -> Column:
+    """yyMMddHHmmss, then symbols up to n characters."""
+    return F.concat(F.date_format(time, "yyMMddHHmmss"), random_id(key, n - 12, seed, CAPITALS)) if n > 12 else F.date_format(time, "yyMMddHHmmss")

@@ -91,3 +91,8 @@ def weekday(day: Column) -> Column:
 def next_workday(day: Column) -> Column:
     """The next day that isn't a Saturday or Sunday."""
     return F.date_add(day, F.when(F.dayofweek(day) == 6, 3).when(F.dayofweek(day) == 7, 2).otherwise(1))
+
+
+def whole_range(start: Column, stop: Column) -> Column:
+    """Whether a pair of milliseconds means all of time: it is turned about, or both are 0."""
+    return (stop < start) | ((stop == 0) & (start == 0))

@@ -73,7 +73,7 @@ def range_rows(df: DataFrame, keys: Sequence[str], index: str, start: Any, stop:
     if not ifprev:
         return inside
     exact = base.where(c == lo).select(*keys).distinct()
-    before = last_rows(base.where((c < lo) & (c <= hi)).select(*columns), keys, order)
+    before = last_rows(base.where(c < lo), keys, order).where(c <= hi).select(*columns)
     return inside.unionByName(before.join(exact, list(keys), "left_anti").select(*columns))
 
 

@@ -41,10 +41,16 @@ def subject_filter(key: Column, table: Column, keys: str = "*", tables: str = "*
 
 
 def fan_out(rows: DataFrame, key: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
-    """Each row once for each subscriber whose pattern (a prefix, or '*') its key matches.  The join has no
-    equal column; Spark broadcasts the patterns only if their size allows it."""
+    """Each row once for each subscriber whose pattern (a prefix, or '*') its key matches.
+
+    Patterns are few and short against the rows: a row is listed under those beginnings of its key that are as
+    long as some pattern, and joined on them, so no row meets a pattern that it doesn't match."""
     p = F.lower(F.col(pattern))
-    return rows.join(patterns, (p == "*") | F.lower(F.col(key)).startswith(p))
+    told = patterns.withColumn("__p", F.when(p == "*", "").otherwise(p)).where("__p is not null")
+    lengths = [x[0] for x in told.select(F.length("__p")).distinct().collect()]  # as many as a key has letters
+    k = F.lower(F.col(key))
+    starts = F.array_distinct(F.array(*[F.when(F.length(k) >= n, F.left(k, F.lit(n))) for n in lengths])) if lengths else F.array().cast("array<string>")
+    return rows.withColumn("__p", F.explode(starts)).join(told, "__p").drop("__p")
 
 
 def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 Keys that begin with '$' name registered methods; their value holds their arguments and their children.
 Siblings are alternatives (or), a child narrows its parent (and): {"$a": {"$b": {}}, "$c": {}} is
-(a and b) or c.  In ``select`` mode each node marks rows and the same rule gives the union of siblings and
-the intersection along a branch.
+(a and b) or c.  ``select`` takes methods that pick rows (as the newest n) where no predicate can: a node's rows
+are what its method picks from its parent's, cut to the union of what its children pick from those.
 """
 
 from __future__ import annotations
@@ -55,6 +55,27 @@ class Registry:
         return df.where(self.fold(tree))
 
 
+def select(df: DataFrame, tree: dict | str, methods: dict[str, Callable[[DataFrame, dict], DataFrame]], identity: list[str]) -> DataFrame:
+    """The rows of ``df`` that a tree of picking methods leaves; ``identity`` tells rows apart.  A tree without
+    methods leaves all."""
+    tree = json.loads(tree, object_pairs_hook=list) if isinstance(tree, str) else tree
+
+    def siblings(rows: DataFrame, items) -> DataFrame | None:
+        found = [node(rows, k[1:], v) for k, v in items if k.startswith("$")]
+        return reduce(lambda a, b: a.union(b), found).dropDuplicates(identity) if len(found) > 1 else found[0] if found else None
+
+    def node(rows: DataFrame, name: str, value) -> DataFrame:
+        if name not in methods:
+            raise ValueError(f"no method {name!r}")
+        items = list(value.items()) if isinstance(value, dict) else list(value or [])
+        own = methods[name](rows, {k: v for k, v in items if not k.startswith("$")})
+        below = siblings(own, items)
+        return own if below is None else own.join(below.select(*identity), identity, "left_semi")
+
+    out = siblings(df, tree.items() if isinstance(tree, dict) else tree)
+    return df if out is None else out
+
+
 def standard() -> Registry:
     """Comparisons on a named field: group (min, max), same, match, in, contain."""
     field = lambda a: F.col(a["field"])

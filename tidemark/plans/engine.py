@@ -83,6 +83,15 @@ class Engine:
             hit = hit & F.col(t.index).between(start, stop)
         self.frames[name] = write.delete(self.frames[name], hit)
 
+    def save(self, name: str, path: str) -> None:
+        """Write a table out, partitioned by its grain, and go on from what was written: the plan of all writes so
+        far ends here.  Any folder but the one that it is read from now."""
+        t, df = self.tables[name], self.frames[name]
+        part = t.partition()
+        df = df if part is None else df.withColumn(t.grain, part)
+        write.write_table(df, path, None if part is None else t.grain, "key", t.index)
+        self.frames[name] = self.spark.read.parquet(path).select(*self.frames[name].columns)
+
     # key-value store
     def put(self, key: str, value: Any) -> None:
         self.values[key] = value

@@ -26,3 +26,19 @@ def read_range(spark, path: str, index: str, start: int, stop: int, grain: str)
     elif grain == "date":
         df = df.where(date_predicate("date", start, stop))
     return df.where(F.col(index).between(start, stop))
+
+
+def write_segments(df: DataFrame, path: str, time: str, hours: int = 6) -> None:
+    """A folder for each day and segment of so many hours; later rows of a segment are added beside the others."""
+    part = df.withColumn("date", F.date_format(time, "yyyyMMdd").cast("int")).withColumn("segment", F.floor(F.hour(time) / hours).cast("int"))
+    part.repartition("date", "segment").sortWithinPartitions(time).write.mode("append").partitionBy("date", "segment").parquet(path)
+
+
+def read_days(spark, path: str, first: int, last: int, weekends: bool = True, segments: tuple[int, int] | None = None) -> DataFrame:
+    """Rows of the days (yyyymmdd) from one to another, of some segments, without Saturdays and Sundays if so
+    wished: all of it chooses folders, none of it reads rows."""
+    df = spark.read.parquet(path)
+    df = df.where(F.col("date").between(first, last))
+    if not weekends:
+        df = df.where(F.dayofweek(F.to_date(F.col("date").cast("string"), "yyyyMMdd")).isin(2, 3, 4, 5, 6))
+    return df if segments is None else df.where(F.col("segment").between(*segments))

@@ -14,10 +14,12 @@ _sent: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Once per application, and only where neither the working folder nor PYTHONPATH leads to the package."""
+    """Once per application.  Only where executors are on this machine can the driver's PYTHONPATH or working
+    folder lead them to the package."""
+    app, master = spark.sparkContext.applicationId, spark.sparkContext.master
     paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]
-    app = spark.sparkContext.applicationId
-    if app in _sent or any(p and Path(p).resolve() == ROOT for p in paths):
+    here = master.startswith("local") and any(p and Path(p).resolve() == ROOT for p in paths)
+    if app in _sent or here:
         return
     folder = Path(tempfile.mkdtemp(prefix="tidemark-code-"))
     shutil.copytree(ROOT / "tidemark", folder / "code" / "tidemark", ignore=shutil.ignore_patterns("__pycache__"))

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import numeric, strings, timeconv
 from tidemark.operators import asof, buckets, lookup, match, predicates, rolling, series, write
+from tidemark.plans import partitions
 from tidemark.plans.schema import convert, parse
-from tidemark.sources import text
+from tidemark.sources import binary, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -204,6 +205,75 @@ def a44_one_day(spark, d):
     return e.where((F.col("ts") >= ntz("2024-01-09")) & (F.col("ts") < ntz("2024-01-10"))).select("event_id", "event_type")
 
 
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-13' AND dayofweek(ts) NOT IN (0, 6)")
+def a7_daily_files(spark, d):
+    """Daily folders, written and read back; Saturdays and Sundays are passed over."""
+    path = _stream_root(spark) + "/days"
+    partitions.write_segments(table(spark, d, "events"), path, "ts")
+    return partitions.read_days(spark, path, 20240103, 20240112, weekends=False).select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-08' AND hour(ts) BETWEEN 6 AND 17")
+def a8_segments(spark, d):
+    """Segments of six hours, written in two parts that come after each other."""
+    path, e = _stream_root(spark) + "/segments", table(spark, d, "events")
+    for odd in (0, 1):
+        partitions.write_segments(e.where(F.col("event_id") % 2 == odd), path, "ts", 6)
+    return partitions.read_days(spark, path, 20240105, 20240107, segments=(1, 2)).select("event_id", "user_id")
+
+
+@query("SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d')::INTEGER AS o_date FROM orders WHERE o_orderdate BETWEEN DATE '1995-03-01' AND DATE '1996-06-30'")
+def a6_structured_range(spark, d):
+    """Yearly folders, of which two are read."""
+    path = _stream_root(spark) + "/years"
+    o = table(spark, d, "orders").select("o_orderkey", timeconv.date_int(F.col("o_orderdate")).cast("int").alias("o_date"))
+    write.write_table(o.withColumn("year", F.floor(F.col("o_date") / 10000).cast("int")), path, "year", "o_orderkey", "o_date")
+    return partitions.read_range(spark, path, "o_date", 19950301, 19960630, "year").select("o_orderkey", "o_date")
+
+
+@query("SELECT o_orderkey, o_totalprice + CASE WHEN o_orderpriority = '1-URGENT' THEN 1 ELSE 0 END AS o_totalprice FROM orders")
+def a10_journal(spark, d):
+    """Two batches are logged, the first is applied, then the writer is lost: what is left in the log is applied."""
+    root, o = _stream_root(spark), table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    log = write.Journal(spark, root + "/log")
+    first = log.append(o)
+    done = o.withColumn("entry", F.lit(first))
+    log.applied(first)
+    log.append(o.where("o_orderpriority = '1-URGENT'").withColumn("o_totalprice", F.col("o_totalprice") + 1))
+    return write.upsert(done, log.recover(), ["o_orderkey"], "entry").select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice, o_orderstatus FROM orders")
+def a20_binary_rows(spark, d):
+    """Rows packed into bytes and unpacked again."""
+    t = parse("o", {"fields": {"o_orderkey": ["I", 8], "o_custkey": ["I", 8], "o_totalprice": ["F", 8], "o_orderstatus": ["C", 4]}})
+    packed = binary.rows_to_bytes(table(spark, d, "orders").select(*[f.name for f in t.fields]), t)
+    return binary.rows_from_bytes(packed, "bytes", t)
+
+
+@query("""SELECT o_orderkey, '{"o_custkey":' || o_custkey || ',"o_orderstatus":"' || o_orderstatus || '"}' AS j, '[' || o_custkey || ',"' || o_orderstatus || '"]' AS a, o_custkey || ',' || o_orderstatus AS c, o_custkey || ' ' || o_orderstatus AS t FROM orders""")
+def a21_formats(spark, d):
+    t = parse("o", {"fields": {"o_custkey": ["I", 8], "o_orderstatus": ["C", 4]}})
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    kinds = {"j": "json", "a": "array", "c": "csv", "t": "text"}
+    return o.select("o_orderkey", *[binary.format_column(k, t).alias(n) for n, k in kinds.items()])
+
+
+@query("SELECT event_id, CAST(strftime(ts, '%Y%m%d') AS INTEGER) AS day FROM events WHERE ts >= TIMESTAMP '2024-01-30' AND ts < TIMESTAMP '2024-02-02' OR ts >= TIMESTAMP '2024-01-01' AND ts < TIMESTAMP '2024-01-02'")
+def a37_day_store(spark, d):
+    """Days are started, written in two parts, stopped, and merged."""
+    e, path = table(spark, d, "events"), _stream_root(spark) + "/store"
+    store = write.DayStore(spark, path, "user_id", "ts")
+    for day in (20240101, 20240130, 20240131, 20240201):
+        of_day = e.where(timeconv.date_int(F.col("ts")) == day)
+        store.start(day)
+        for odd in (0, 1):
+            store.set(of_day.where(F.col("event_id") % 2 == odd))
+        store.stop()
+    store.merge(2024)
+    return store.read(20240101, 20240201).select("event_id", "day")
+
+
 # ---------------------------------------------------------------- B: projections and predicates
 
 
@@ -315,6 +385,16 @@ def b21_shape_tests(spark, d):
     return c.select("c_custkey", strings.is_number(F.substr("c_name", F.lit(10))).alias("digits"), strings.is_date(F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("c_nationkey").cast("int")), "yyyyMMdd")).alias("dated"))
 
 
+@query("""WITH n AS (SELECT event_id, event_type, value FROM events WHERE value > 20), a AS (SELECT event_id FROM n QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) <= 5)
+          SELECT event_id FROM a UNION SELECT event_id FROM n WHERE event_type = 'click' UNION SELECT event_id FROM events WHERE user_id = 7""")
+def b14_filter_lists(spark, d):
+    """Nodes that pick rows: the largest five of each type or all clicks, of those above 20; or a user's."""
+    top = lambda df, a: df.withColumn("__n", F.row_number().over(Window.partitionBy("event_type").orderBy(F.desc("value"), "event_id"))).where(F.col("__n") <= a["n"]).drop("__n")
+    methods = {"above": lambda df, a: df.where(F.col("value") > a["min"]), "top": top, "type": lambda df, a: df.where(F.col("event_type") == a["is"]), "user": lambda df, a: df.where(F.col("user_id") == a["is"])}
+    tree = '{"$above": {"min": 20, "$top": {"n": 5}, "$type": {"is": "click"}}, "$user": {"is": 7}}'
+    return predicates.select(table(spark, d, "events"), tree, methods, ["event_id"]).select("event_id")
+
+
 # ---------------------------------------------------------------- C: joins in time
 
 
@@ -1003,6 +1083,25 @@ def h8_time_units(spark, d):
     return e.select("event_id", *[timeconv.convert_unit(F.col(own[a]), a, b).alias(n) for a, b, n in cols])
 
 
+@query("""SELECT p_partkey, 'http' AS scheme, p_brand || '/x' AS rest, CASE WHEN instr(p_type, 'TIN') = 0 THEN -1 WHEN substr(p_type, instr(p_type, 'TIN') + 3, 1) IN ('', ' ') THEN 0 ELSE 1 END AS tin, p_brand || '-' || p_size AS joined, p_name || chr(10) || p_brand AS line FROM part""")
+def h1_lines_and_signs(spark, d):
+    p, c = table(spark, d, "part"), F.col
+    url = strings.around(F.concat(F.lit("http://"), c("p_brand"), F.lit("/x")), "://")
+    text_ = F.concat(F.lit("a\nb\n"), c("p_name"), F.lit("\n"), c("p_brand"), F.lit("\nlast"))
+    line = strings.line_around(text_, F.length("p_name") + 6)
+    return p.select("p_partkey", url["before"].alias("scheme"), url["after"].alias("rest"), strings.token_match(c("p_type"), "TIN", " ").alias("tin"), strings.merge(F.array("p_brand", c("p_size").cast("string")), "-").alias("joined"), F.substr(line, F.lit(2)).alias("line"))
+
+
+@query("SELECT event_id, strftime(ts, '%y%m%d%H%M%S') AS stamp, true AS shaped, true AS bounded, event_id % 3 = 2 AS whole FROM events")
+def h1_h2_h3_ids_and_draws(spark, d):
+    """Identifiers and draws follow from a row's key and a seed; their shape and bounds are compared."""
+    c = F.col("event_id")
+    stamp, draw = strings.time_id(F.col("ts"), c, 16), numeric.random_int(5, -5, 1, c)
+    shaped = stamp.rlike("^[0-9]{12}[A-Z0-9]{4}$") & strings.random_id(c, 8, 2).rlike("^[A-Za-z0-9]{8}$")
+    bounded = draw.between(-5, 5) & numeric.random_double(0.5, 1.5, 3, c).between(0.5, 1.5) & numeric.random_score(9, 4, 5, c).between(0, 4)
+    return table(spark, d, "events").select("event_id", F.left(stamp, F.lit(12)).alias("stamp"), shaped.alias("shaped"), bounded.alias("bounded"), timeconv.whole_range(c % 3, F.lit(1)).alias("whole"))
+
+
 @query("SELECT p_partkey, base64(encode(p_name)) AS b64, sha1(p_name) AS digest FROM part")
 def h11_h12_codecs(spark, d):
     return table(spark, d, "part").select("p_partkey", F.base64(F.col("p_name").cast("binary")).alias("b64"), F.sha1("p_name").alias("digest"))
@@ -1272,6 +1371,23 @@ def x_except_all(spark, d):
     return o.where("o_totalprice > 1000").select("o_custkey").exceptAll(o.where("o_totalprice > 200000").select("o_custkey"))
 
 
+@query("SELECT c_nationkey FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+def x_intersect_all(spark, d):
+    return table(spark, d, "customer").select("c_nationkey").intersectAll(table(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT c_nationkey FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+def x_union_all(spark, d):
+    return table(spark, d, "customer").select("c_nationkey").unionAll(table(spark, d, "supplier").select("s_nationkey"))
+
+
+@query("SELECT event_type, true AS near FROM events GROUP BY 1")
+def x_approx_distinct(spark, d):
+    """The estimate lies within three times its error of the exact count."""
+    g = table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.countDistinct("user_id").alias("exact"))
+    return g.select("event_type", (F.abs(F.col("about") - F.col("exact")) <= 0.06 * F.col("exact") + 1).alias("near"))
+
+
 @query("SELECT c_nationkey FROM customer INTERSECT SELECT s_nationkey FROM supplier")
 def x_intersect(spark, d):
     return table(spark, d, "customer").select("c_nationkey").intersect(table(spark, d, "supplier").select("s_nationkey"))
