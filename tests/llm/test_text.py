@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tempfile
 import zlib
 from collections import defaultdict
 from itertools import product
@@ -13,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tidemark.llm import html_text, packing, quality, sentence_pieces, token_counts, topk, warc
+from tidemark.llm.common import materialise
 from tidemark.llm.pieces import BytePieces, WordPieces
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -313,6 +315,42 @@ def test_arc_conversion(version):
     assert warc.warc_date("1999") == "1999-01-01T00:00:00Z"
 
 
+def test_archives_of_old_files(spark, tmp_path):
+    """A folder of ARC files with broken parts: all records are converted, all else is kept beside them."""
+    import gzip
+
+    day, http = "20240102030405", b"HTTP/1.1 200 OK\r\n\r\n"
+    record = lambda v, i, b: warc.arc_record(v, f"http://h/{i}", "1.2.3.4", day, "text/html", b)
+    one = warc.arc_file_header(1, day) + record(1, 1, http + b"a") + b"http://h/x 1.2.3.4 20240102030405 only-four\nlost\n" + record(1, 2, b"b\nc") + record(1, 3, b"")
+    two = warc.arc_file_header(2, day) + record(2, 4, http + b"d") + record(2, 5, b"cut short")[:-6]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.arc").write_bytes(one)
+    (tmp_path / "in" / "b.arc.gz").write_bytes(gzip.compress(two))
+    (tmp_path / "in" / "c.arc").write_bytes(b"nothing of the kind")
+    (tmp_path / "in" / "d.arc.gz").write_bytes(gzip.compress(two)[:20])
+    rows = warc.convert_archives(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/out").collect()
+    good = [r for r in rows if r.problem is None]
+    assert sorted((r.url, r.warc_type, r.length) for r in good) == [("http://h/1", "response", 20), ("http://h/2", "resource", 3), ("http://h/3", "resource", 0), ("http://h/4", "response", 20)]
+    assert len({r.record_id for r in good}) == 4 and {r.payload_digest for r in good} >= {hashlib.sha1(x).hexdigest() for x in (b"a", b"b\nc", b"", b"d")}
+    problems = sorted(r.problem.split(":")[0] for r in rows if r.problem)
+    assert problems == ["4 fields in a header of ARC version 1", "an ARC file begins with a filedesc", "declared length 9 passes the end", "not to be unpacked"]
+    archives = [x for x in (tmp_path / "out").iterdir() if x.name.endswith(".warc.gz")]
+    assert sorted(h["warc-record-id"] for x in archives for h, _ in warc.read_warc(x.read_bytes())) == sorted(r.record_id for r in good)
+    assert b"lost" in b"".join(x.read_bytes() for x in (tmp_path / "out").iterdir() if x.name.endswith(".broken"))
+
+
+def test_record_ids_are_unique(spark):
+    same = "x" * 1200
+    rows = [(1, "u", same), (1, "u", same), (2, "v", same), (None, "n", same), (None, "n", same), (None, "m", "short"), (None, "m", "short"), (3, "w", "short")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    folder = "file://" + tempfile.mkdtemp()
+    archives = materialise(warc.write_pages(df, folder), "list")
+    read = warc.read_records(spark, folder, archives).collect()
+    assert len(read) == len(rows) and len({r.record_id for r in read}) == len(rows)
+    main = next(r for r in read if r.page_id == 2)
+    assert {r.refers_id for r in read if r.payload_bytes == 1200 and r.page_id != 2} == {main.record_id}
+
+
 def test_archives(spark):
     big, other = "<p>" + "é" * 600 + "</p>", "x" * 1000
     rows = [(1, "http://a/1", big), (9, "http://a/9", big), (4, "http://a b/4", big), (2, "u", "small"), (3, "u", "small"), (5, None, None), (6, "u", ""), (7, "u", other), (7, "u", other), (None, "u", other), (8, "u", "y" * 999), (10, "u", "y" * 999)]
@@ -330,8 +368,8 @@ def test_archives(spark):
 
 
 def test_top_k(spark, monkeypatch):
-    monkeypatch.setattr(topk, "SHARD_DOCS", 100)
-    monkeypatch.setattr(topk, "CHUNK_QUERIES", 3)
+    monkeypatch.setattr(topk, "SHARD_VALUES", 800)
+    monkeypatch.setattr(topk, "CHUNK_VALUES", 24)
     rng = np.random.default_rng(4)
     rows = [(i, rng.standard_normal(8).round(2).tolist()) for i in range(400)] + [(400 + i, [0.5] * 8) for i in range(15)] + [(500, None), (501, [None] * 8), (502, [float("nan")] * 8), (503, [1.0, 2.0]), (600, [3.0, 1.0]), (None, [1.0] * 8), (0, rng.standard_normal(8).round(2).tolist())]
     rows[-1] = (0, rows[0][1])
