@@ -19,9 +19,10 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import materialise
 
 BLOCK_DOCS = 32
-#: Candidates in a shard and queries in a chunk: what one task holds.
-SHARD_DOCS = 16_384
-CHUNK_QUERIES = 1024
+#: Components of the candidates in a shard and of the queries in a chunk: what one task holds of each.  With
+#: n vectors of d components, n d / SHARD_VALUES copies of each query and as many times the queries' share of
+#: each candidate are dealt.
+SHARD_VALUES = CHUNK_VALUES = 1 << 20
 #: Blocks scored between two looks at the bounds.
 STEP = 8
 
@@ -131,8 +132,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     """
     docs = materialise(quantised(vectors, scale).groupBy("vec_id").agg(F.min(F.struct("dim", "v")).alias("x")).select("vec_id", "x.dim", "x.v"), "vectors")
     asked = docs.join(queries.select("vec_id").distinct(), "vec_id", "left_semi")
-    n_docs, n_asked = docs.count(), asked.count()
-    shards, chunks = max(1, -(-n_docs // SHARD_DOCS)), max(1, -(-n_asked // CHUNK_QUERIES))
+    n_docs, n_asked, dim = docs.count(), asked.count(), docs.agg(F.max("dim")).first()[0] or 1
+    shards, chunks = max(1, -(-n_docs * dim // SHARD_VALUES)), max(1, -(-n_asked * dim // CHUNK_VALUES))
     shard, chunk = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards)), F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(chunks))
     left = docs.withColumn("shard", shard).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     right = asked.withColumn("chunk", chunk.cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
