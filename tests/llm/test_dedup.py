@@ -267,3 +267,47 @@ def test_embedding_edges(spark):
     rows = [(5, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (3, [1.0, 0.0], 1), (None, [0.0, 1.0], 1)]
     got = sorted([tuple(r) for r in embed_dedup.embedding_components(_vectors(spark, rows)).collect()], key=str)
     assert got == sorted([(5, 2, 3, False), (5, 2, 3, False), (3, 2, 3, True), (None, 0, None, False)], key=str)
+
+
+def test_long_texts_in_parts(monkeypatch):
+    """What is read in parts gives what the whole gives."""
+    rng = random.Random(12)
+    text = " ".join(rng.choice(["Alpha", "be", "gam\tma", "d\n\ne", "é"]) for _ in range(4000)).encode()
+    short = [b"", b" ", b"one", b"one two", b"one two three four", b"x" * 3000 + b" y " + b"z" * 3000]
+    whole = [(simhash.fingerprint(t, 3), simhash.fingerprint(t, 5, 2, distinct=True), simhash.shingles(t, 5, simhash._WordHashes()).tolist()) for t in [text, *short]]
+    monkeypatch.setattr(simhash, "PART", 100)
+    monkeypatch.setattr(simhash, "WORDS", 2)
+    assert [(simhash.fingerprint(t, 3), simhash.fingerprint(t, 5, 2, distinct=True), simhash.shingles(t, 5, simhash._WordHashes()).tolist()) for t in [text, *short]] == whole
+
+
+def test_segments_in_parts(monkeypatch):
+    """Every window lies in just one segment, with the key that it has in the whole text."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    texts = {1: bytes(rng.integers(97, 100, 9000).astype(np.uint8)), 2: b"short", 5: b"q" * 700, 4: bytes(rng.integers(97, 123, 2500).astype(np.uint8))}
+    texts[7] = texts[4][300:2000]
+    batch = pa.RecordBatch.from_arrays([pa.array(list(texts), pa.int64()), pa.array(list(texts.values()), pa.binary())], names=["doc_id", "bytes"])
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 1024)
+    monkeypatch.setattr(suffix_dedup, "JOINED_BLOCKS", 3)
+    seen = {}
+    for out in suffix_dedup._find_segments(100)(iter([batch])):
+        for h, s, d, start, n in zip(*(c.to_pylist() for c in out.columns), strict=True):
+            for i in range(start, start + n):
+                assert (d, i) not in seen
+                seen[d, i] = h if s is not None else None
+    for d, t in texts.items():
+        keys = suffix_dedup.window_keys(np.frombuffer(t, dtype=np.uint8), 100)[0].view(np.int64).tolist() if len(t) >= 100 else []
+        assert sorted(i for x, i in seen if x == d) == list(range(len(keys)))
+        assert all(seen[d, i] in (k, None) for i, k in enumerate(keys))
+
+
+def test_smaller_values():
+    rng = random.Random(2)
+    for _ in range(200):
+        v = np.array([rng.randrange(6) for _ in range(rng.randrange(0, 30))], dtype=np.int32)
+        before = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(len(v))]
+        after = [min((j for j in range(i + 1, len(v)) if v[j] < v[i]), default=-1) for i in range(len(v))]
+        assert suffix_dedup.previous_smaller(v).tolist() == before and suffix_dedup.next_smaller(v).tolist() == after
+    down = np.arange(100_000, 0, -1, dtype=np.int32)
+    assert (suffix_dedup.previous_smaller(down) == -1).all()

@@ -7,6 +7,7 @@ import zlib
 import pytest
 
 import corpus_pipeline as pipeline
+from tidemark.llm import quality
 from tidemark.llm.queries import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -48,6 +49,43 @@ def test_repeated_passages_go(spark):
     assert got == {1: passage, 2: own + " é", 4: "", 5: "short", None: passage}
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_quality_stage_by_brute_force(spark):
+    """Documents kept, against the model applied to one text after the other."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    model = quality.train(docs, labels)
+    rows = docs.collect()
+    scores = {r.doc_id: float(model.score(quality.terms((r.text or "").encode())[None])[0]) for r in rows}
+    kept = pipeline.quality_stage(spark, docs, DATA)
+    assert kept.columns == list(pipeline.COLUMNS)
+    got = {tuple(r) for r in kept.collect()}
+    assert got == {tuple(r[c] for c in pipeline.COLUMNS) for r in rows if scores[r.doc_id] >= pipeline.THRESHOLD}
+    assert 0 < len(got) < len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_packing_stage_by_brute_force(spark):
+    """Every id of every document, told by the library, in one place of one sequence."""
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    ids = {r.doc_id: np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 1], dtype="<u4") for r in docs.collect()}
+    pieces, places = {}, {}
+    for p in pipeline.packing_stage(spark, docs, DATA).collect():
+        assert p.doc_tokens == len(ids[p.doc_id]) and p.ids_crc32 == zlib.crc32(ids[p.doc_id][p.start : p.start + p.length].tobytes())
+        pieces.setdefault(p.doc_id, []).append((p.start, p.length))
+        places.setdefault(p.sequence_id, []).append((p.offset, p.length))
+    assert set(pieces) == set(ids)
+    for d, own in pieces.items():
+        assert [a for a, _ in sorted(own)] + [len(ids[d])] == [0, *(a + n for a, n in sorted(own))]
+    for own in places.values():
+        total = sum(n for _, n in own)
+        assert [a for a, _ in sorted(own)] + [total] == [0, *(a + n for a, n in sorted(own))] and total <= 2048 and total & (total - 1) == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
 def test_run(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")

@@ -90,6 +90,20 @@ def test_attribution_rules(lengths, data):
         assert tokens.tolist() == pytest.approx(expected[rule]) and over.tolist() == crossing
 
 
+def test_field_token_counts(spark, byte_pieces):
+    rows = [(1, "A title", "Some body, é and more.", "tail"), (2, None, "", None), (3, "", "only", ""), (None, "x", None, "y"), (1, "A title", "Some body, é and more.", "tail")]
+    df = spark.createDataFrame([(*r, "field") for r in rows], "doc_id long, title string, body string, note string, field string")
+    for rule in token_counts.RULES:
+        got = token_counts.field_token_counts(df, ("title", "body", "note"), RANKS, public_tokenizers.PATTERN, rule).collect()
+        assert len(got) == 3 * len(rows)
+        for d, *parts in rows:
+            text = "\n".join(p or "" for p in parts)
+            own = [r for r in got if r.doc_id == d][:3]
+            assert sum(r.n_tokens for r in own) == pytest.approx(len(byte_pieces.encode(text)))
+            assert [text[r.start : r.stop].rstrip("\n") for r in own] == [p or "" for p in parts]
+    assert token_counts.field_token_counts(df.limit(0), ("title",), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
 def test_packing(spark, word_pieces):
     rng = random.Random(1)
     rows = [(0, None), (1, ""), (2, "one two"), (2, "one two"), (None, "no id")] + [(i, " ".join(rng.choice(["alpha", "be", "gamma!"]) for _ in range(rng.randrange(1, 300)))) for i in range(10, 80)] + [(90, "word " * 5000)]
@@ -231,6 +245,40 @@ def test_quality(spark):
     assert quality.classify(docs.limit(0), labels).count() == 0
 
 
+def test_votes_by_brute_force():
+    """Against the vote written out, with copies at the last neighbour's place and texts like nothing."""
+    rng = np.random.default_rng(8)
+    texts = [bytes(rng.choice(list(b"abc ABC.,!1\n"), size=rng.integers(0, 60))) for _ in range(60)]
+    texts += [texts[0]] * 20 + [b"", b""]
+    labels = rng.integers(0, 2, len(texts))
+    model = quality.Model(np.array([quality.terms(t) for t in texts]), labels, 10)
+    asked = [*texts[:10], b"", b"zz zz zz", b"A. " * 50]
+    got = model.score(np.array([quality.terms(t) for t in asked]), 12)
+    for t, score in zip(asked, got, strict=True):
+        v = model.project(quality.terms(t)[None])[0]
+        near = sorted(((round(float(np.float32(v) @ p), 5), int(y)) for p, y in zip(model.points, labels, strict=True)), reverse=True)
+        last = near[11][0]
+        above, tied = [x for x in near if x[0] > last + 2e-6], [x for x in near if abs(x[0] - last) <= 2e-6]
+        share = (12 - len(above)) / len(tied)
+        votes = [(max(c, 0) ** quality.POWER, y) for c, y in above] + [(share * max(c, 0) ** quality.POWER, y) for c, y in tied]
+        total = sum(w for w, _ in votes)
+        assert score == pytest.approx(sum(w * y for w, y in votes) / total if total else 0.5, abs=1e-3)
+    order = rng.permutation(len(texts))
+    again = quality.Model(np.array([quality.terms(texts[i]) for i in order]), labels[order], 10).score(np.array([quality.terms(t) for t in asked]), 12)
+    assert again == pytest.approx(got, abs=1e-3)  # no order of the sample decides
+
+
+def test_terms_in_parts(monkeypatch):
+    text = b"Aa bb bb cc aa, 12\nAa bb bb cc aa, 12\n\nx" * 40
+    whole = quality.terms(text)
+    monkeypatch.setattr(quality, "PART", 7)
+    assert quality.terms(text) == pytest.approx(whole)
+    words = text.split()
+    assert whole[-4] ** 2 == pytest.approx(sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words))
+    assert whole[-3] ** 2 == pytest.approx(sum(a == b for a, b in zip(words, words[2:], strict=False)) / len(words))
+    assert quality.terms(None)[-1] == 1 and not quality.terms(b"")[:-1].any()
+
+
 ARTICLE = '<html><head><title>T</title><style>p{}</style></head><body><nav><a>Menu</a></nav><div class="ad">Buy</div><article><h1>Head&amp;line</h1><p><b>One<br>two<p>Three\n  &nbsp;four</p><script>x("</p>")</script><div class="comments"><p>Nice</p></div></article><footer>&copy; us</footer></body></html>'
 
 
