@@ -12,6 +12,7 @@ the order and the edit.  Frequent shingles are put last, so that prefixes hold w
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,6 +29,11 @@ BUCKET = BITS
 #: The order of shingles (and nothing else) rests on this many of the most frequent ones, counted in one of
 #: so many texts.
 FREQUENT, COUNTED = 1 << 16, 16
+#: Bytes of a text whose words are held at once.
+PART = 1 << 20
+#: Hashes of words that are kept for further texts.
+WORDS = 1 << 18
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
 def covering_masks(radius: int, bits: int = BITS) -> list[int]:
@@ -50,28 +56,52 @@ def _mixed(h: np.ndarray, nth: int) -> np.ndarray:
     return h
 
 
+def word_blocks(text: bytes) -> Iterator[list[bytes]]:
+    """The lower-cased words of a text, for some of its bytes at a time; words are never parted."""
+    if len(text) <= PART:
+        yield text.lower().split()
+        return
+    at = 0
+    while at < len(text):
+        m = _SPACE.search(text, at + PART)
+        stop = m.end() if m else len(text)
+        yield text[at:stop].lower().split()
+        at = stop
+
+
+def shingle_blocks(text: bytes, words: int) -> Iterator[list[bytes]]:
+    """A text's word shingles, in blocks; a text with fewer words is one shingle, one without words has none."""
+    held: list[bytes] = []
+    whole = True
+    for found in word_blocks(text):
+        held += found
+        if len(held) >= words:
+            whole = False
+            yield held if words == 1 else [b" ".join(x) for x in zip(*(held[i:] for i in range(words)), strict=False)]
+            held = held[len(held) - words + 1 :]
+    if whole and held:
+        yield [b" ".join(held)]
+
+
 def fingerprint(text: bytes | None, words: int, prints: int = 1, seed: int = 42, distinct: bool = False) -> list[int]:
     """``prints`` independent 64-bit SimHashes of a text's word shingles: A-Z lower-cased, words cut at
     ASCII white space, XXH64 per shingle (mixed anew for those after the first); a bit is set if it is set
     in over half of the shingles.  No words: 0."""
     import xxhash
 
-    found = (text or b"").lower().split()
-    if not found:
-        return [0] * prints
-    if len(found) > words > 1:
-        found = [b" ".join(x) for x in zip(*(found[i:] for i in range(words)), strict=False)]
-    elif words > 1:
-        found = [b" ".join(found)]
-    if distinct:
-        found = list(set(found))
-    counts, digest = np.zeros((prints, BITS), dtype=np.int64), xxhash.xxh64_intdigest
-    for at in range(0, len(found), 4096):
-        part = found[at : at + 4096]
-        h = np.fromiter([digest(s, seed) for s in part], dtype="<u8", count=len(part))
-        for i in range(prints):
-            counts[i] += np.unpackbits(_mixed(h, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-    return np.packbits(2 * counts > len(found), axis=1, bitorder="little").view("<u8").ravel().tolist()
+    counts, total, digest = np.zeros((prints, BITS), dtype=np.int64), 0, xxhash.xxh64_intdigest
+    seen: set[bytes] = set()
+    for found in shingle_blocks(text or b"", words):
+        if distinct:
+            found = list(set(found) - seen)
+            seen.update(found)
+        total += len(found)
+        for at in range(0, len(found), 4096):
+            part = found[at : at + 4096]
+            h = np.fromiter([digest(s, seed) for s in part], dtype="<u8", count=len(part))
+            for i in range(prints):
+                counts[i] += np.unpackbits(_mixed(h, i).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+    return np.packbits(2 * counts > total, axis=1, bitorder="little").view("<u8").ravel().tolist()
 
 
 def fingerprints(docs: DataFrame, words: int = 3, prints: int = 1, seed: int = 42, distinct: bool = False, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -121,7 +151,7 @@ def hamming_edges(classes: DataFrame, radius: int = 2, bucket: int = BUCKET) ->
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2, seed: int = 42) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs`` (doc_id, text).
 
-    Null and blank texts have fingerprint 0 and are linked like any other.  Rows with a null doc_id keep
+    Null and blank texts have fingerprint 0 and are linked like any other.  A text of any length is read in parts.  Rows with a null doc_id keep
     a fingerprint and join the component of equal fingerprints.  Repeated rows give repeated results.
     """
     fps = materialise(fingerprints(docs, words, seed=seed).select("doc_id", F.col("fps")[0].alias("fp")), "simhash")
@@ -142,10 +172,16 @@ class _WordHashes(dict):
 
 def shingles(text: bytes | None, words: int, hashes: _WordHashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; a text with fewer words is one shingle."""
-    found = (text or b"").lower().split()
-    if len(found) < words:
-        return np.array([hashes[b" ".join(found)]], dtype="<u8")
-    w = np.fromiter(map(hashes.__getitem__, found), dtype="<u8", count=len(found))
+    blocks: list[np.ndarray] = []
+    few: list[bytes] = []
+    for found in word_blocks(text or b""):
+        few += found[: words - len(few)]
+        blocks.append(np.fromiter(map(hashes.__getitem__, found), dtype="<u8", count=len(found)))
+        if len(hashes) > WORDS:
+            hashes.clear()
+    w = np.concatenate(blocks) if blocks else np.zeros(0, dtype="<u8")
+    if len(w) < words:
+        return np.array([hashes[b" ".join(few)]], dtype="<u8")
     n = len(w) - words + 1
     h = w[:n]
     for i in range(1, words):
