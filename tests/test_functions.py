@@ -110,3 +110,9 @@ def test_partitions_are_rewritten_and_compacted(spark, tmp_path):
     found = read_range(spark, path, "time", 1620793979500, 1620794000999, "date")
     assert sorted(x.value for x in found.collect()) == [2, 3, 4, 5]
     assert "PartitionFilters: [isnotnull(date" in found._jdf.queryExecution().toString()
+
+
+def test_embedded_times(spark):
+    df = spark.createDataFrame([("a_20240229.csv",), ("x20240229T1", ), ("no 123",), ("20240229103059123",), ("20241399",)], "s string")
+    got = [r.t for r in df.select(F.date_format(timeconv.embedded_time(F.col("s")), "yyyy-MM-dd HH:mm:ss.SSS").alias("t")).collect()]
+    assert got == ["2024-02-29 00:00:00.000", "2024-02-29 00:00:00.000", None, "2024-02-29 10:30:59.123", None]

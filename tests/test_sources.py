@@ -76,3 +76,8 @@ def test_keyed_document(spark):
     df = spark.createDataFrame([("k", 2, 'q"'), ("k", 1, None)], "key string, n int, s string")
     assert text.keyed_document(df, "key", ["n", "s"], ["n"]).first().document == '{"fields":{"n":0,"s":1},"k":[[1,null],[2,"q\\""]]}'
     assert df.select(text.csv_line([F.col("n"), F.col("s")], [1, None]).alias("x")).first().x == '2.0,q"'
+
+
+def test_merge_json(spark):
+    df = spark.createDataFrame([('{"a":{"b":1,"c":[1]}}', '{"a":{"c":[2],"d":null}}'), (None, '{"x":1}'), ('{"x":1}', "broken"), ("[1]", None)], "a string, b string")
+    assert [r.m for r in df.select(text.merge_json("a", "b").alias("m")).collect()] == ['{"a":{"b":1,"c":[2],"d":null}}', '{"x":1}', '{"x":1}', None]

@@ -96,3 +96,15 @@ def next_workday(day: Column) -> Column:
 def whole_range(start: Column, stop: Column) -> Column:
     """Whether a pair of milliseconds means all of time: it is turned about, or both are 0."""
     return (stop < start) | ((stop == 0) & (start == 0))
+
+
+def parse_ms(s: Column) -> Column:
+    """yyyyMMddHHmmssSSS as a timestamp; null where it is none."""
+    second = F.try_to_timestamp(F.left(s, F.lit(14)), F.lit("yyyyMMddHHmmss"))
+    return F.timestamp_micros(F.unix_micros(second) + F.substr(s, F.lit(15), F.lit(3)).try_cast("long") * 1000)
+
+
+def embedded_time(s: Column) -> Column:
+    """The first run of 8, 12, 14 or 17 digits in a text, as date, minute, second or millisecond; null without one."""
+    found = F.regexp_extract(s, r"(?<!\d)(\d{17}|\d{14}|\d{12}|\d{8})(?!\d)", 1)
+    return parse_ms(F.when(found != "", F.rpad(found, 17, "0")))

@@ -98,6 +98,25 @@ def a13_csv_line(spark, d):
     return n.select("n_nationkey", text.csv_line([F.col("n_nationkey"), F.col("n_name"), F.col("n_regionkey")], [None, None, 2]).alias("line"))
 
 
+@query("SELECT event_id, event_type, round(value, 2) AS value FROM events WHERE event_type <> 'view'")
+def a12_csv_stream(spark, d):
+    """Written as CSV, read as a stream of files, filtered on the way."""
+    from tidemark.streaming import stream
+
+    root = _stream_root(spark)
+    e = table(spark, d, "events").select("event_id", "event_type", F.round("value", 2).alias("value"))
+    text.write_csv(e.repartition(3), root + "/in", {"value": 2})
+    return stream.drain(text.stream_csv(spark, root + "/in", "event_id long, event_type string, value double").where("event_type <> 'view'"), root)
+
+
+@query("SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders")
+def a11_csv_file(spark, d):
+    """Written with fixed decimals, read whole."""
+    path = _stream_root(spark) + "/orders"
+    text.write_csv(table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice"), path, {"o_totalprice": 2})
+    return text.read_csv(spark, path, schema="o_orderkey long, o_orderstatus string, o_totalprice double")
+
+
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, coalesce(CAST(json_extract(props, '$.missing') AS BIGINT), -1) AS missing FROM events")
 def a15_json_path(spark, d):
     e = table(spark, d, "events")
@@ -981,10 +1000,13 @@ def g3_key_set_match(spark, d):
     return table(spark, d, "customer").join(n, "c_nationkey", "left_semi").select("c_custkey")
 
 
-@query("SELECT event_id, json_merge_patch(props, '{\"z\": 1}') ->> '$.k' AS k, json_merge_patch(props, '{\"z\": 1}') ->> '$.z' AS z FROM events")
+@query("""WITH m AS (SELECT event_id, json_merge_patch('{"a": {"x": 1, "y": {"p": 2}}, "k": -1}', json_merge_patch(props, '{"a": {"y": {"q": "' || event_type || '"}, "z": 3}}')) AS j FROM events)
+          SELECT event_id, j ->> '$.k' AS k, j ->> '$.a.x' AS x, j ->> '$.a.y.p' AS p, j ->> '$.a.y.q' AS q, j ->> '$.a.z' AS z FROM m""")
 def g4_json_merge(spark, d):
-    m = F.map_concat(F.map_filter(F.from_json("props", "map<string,string>"), lambda k, v: k != "z"), F.create_map(F.lit("z"), F.lit("1")))
-    return table(spark, d, "events").select("event_id", m["k"].alias("k"), m["z"].alias("z"))
+    """Objects within objects are merged at every depth; other values are replaced."""
+    patch = F.concat(F.lit('{"a": {"y": {"q": "'), F.col("event_type"), F.lit('"}, "z": 3}}'))
+    m = table(spark, d, "events").select("event_id", text.merge_json(F.lit('{"a": {"x": 1, "y": {"p": 2}}, "k": -1}'), text.merge_json("props", patch)).alias("j"))
+    return m.select("event_id", *[F.get_json_object("j", path).alias(name) for name, path in (("k", "$.k"), ("x", "$.a.x"), ("p", "$.a.y.p"), ("q", "$.a.y.q"), ("z", "$.a.z"))])
 
 
 # ---------------------------------------------------------------- H: scalar functions
@@ -1029,10 +1051,11 @@ def h2_time_arithmetic(spark, d):
     return e.select("event_id", timeconv.clock_seconds(timeconv.hhmmss(t)).alias("sec"), timeconv.clock_minutes(timeconv.hhmm(t)).alias("mi"), timeconv.shift_hhmm(timeconv.hhmm(t), 90).cast("long").alias("later"), day(F.date_add(dt, 10)).alias("ten"), F.datediff(dt, F.lit("2024-01-01").cast("date")).cast("long").alias("days"), day(timeconv.next_workday(dt)).alias("workday"), F.date_format(made, "yyyy-MM-dd HH:mm:ss").alias("made"))
 
 
-@query("""SELECT event_id, epoch_us(strptime(strftime(ts, '%Y%m%d-%H:%M:%S'), '%Y%m%d-%H:%M:%S')) AS a, epoch_us(strptime(strftime(ts, '%Y%m%d%H%M%S'), '%Y%m%d%H%M%S')) AS b, epoch_us(strptime(strftime(ts, '%Y-%m-%d'), '%Y-%m-%d')) AS c FROM events""")
+@query("""SELECT event_id, epoch_us(strptime(strftime(ts, '%Y%m%d-%H:%M:%S'), '%Y%m%d-%H:%M:%S')) AS a, epoch_us(strptime(strftime(ts, '%Y%m%d%H%M%S'), '%Y%m%d%H%M%S')) AS b, epoch_us(strptime(strftime(ts, '%Y-%m-%d'), '%Y-%m-%d')) AS c,
+          epoch_us(date_trunc('milliseconds', ts)) AS ms, epoch_us(date_trunc('minute', ts)) AS inside FROM events""")
 def h2_time_parsers(spark, d):
     p = lambda f: F.unix_micros(F.to_timestamp(F.date_format("ts", f), f))
-    return table(spark, d, "events").select("event_id", p("yyyyMMdd-HH:mm:ss").alias("a"), p("yyyyMMddHHmmss").alias("b"), p("yyyy-MM-dd").alias("c"))
+    return table(spark, d, "events").select("event_id", p("yyyyMMdd-HH:mm:ss").alias("a"), p("yyyyMMddHHmmss").alias("b"), p("yyyy-MM-dd").alias("c"), F.unix_micros(timeconv.parse_ms(F.date_format("ts", "yyyyMMddHHmmssSSS"))).alias("ms"), F.unix_micros(timeconv.embedded_time(F.concat(F.lit("log-7_"), F.date_format("ts", "yyyyMMddHHmm"), F.lit(".txt")))).alias("inside"))
 
 
 @query("""SELECT c_custkey, greatest(c_acctbal, 100) AS hi, CASE WHEN c_nationkey = 0 THEN 0 ELSE round(c_acctbal / c_nationkey, 6) END AS ratio, floor(c_acctbal * 10 + 0.5) / 10 AS rounded, CAST(floor(c_acctbal / 50) * 50 AS BIGINT) AS down, CAST(ceil(c_acctbal / 50) * 50 AS BIGINT) AS up,
@@ -1139,6 +1162,9 @@ def _streamed(spark, d, transform, files: str = "events", mode: str = "append",
     return out
 
 
+_TWICE = ["event_id % 2 = 0", "event_id % 2 = 1"]  # all rows, in two batches
+
+
 @query("SELECT event_id, user_id, event_type FROM events WHERE user_id IN (3, 11, 42)")
 def i1_subscribe(spark, d):
     from tidemark.streaming import stream
@@ -1161,7 +1187,11 @@ def i6_publish_known_only(spark, d):
     return _streamed(spark, d, lambda s: stream.known_only(s, known, "user_id").select("event_id", "user_id"))
 
 
-_TWICE = ["event_id % 2 = 0", "event_id % 2 = 1"]  # all rows, in two batches
+@query("SELECT subscriber, event_id FROM events JOIN (VALUES (1, 'cl'), (2, '*'), (3, 'purchase')) s(subscriber, pattern) ON s.pattern = '*' OR starts_with(event_type, s.pattern)")
+def i4_publish_fan_out(spark, d):
+    """Rows of a stream, once for each subscriber."""
+    told = spark.createDataFrame([(1, "CL"), (2, "*"), (3, "purchase")], "subscriber int, pattern string")
+    return _streamed(spark, d, lambda s: match.fan_out(s, "event_type", told).select("subscriber", "event_id"), arrivals=_TWICE)
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")

@@ -87,6 +87,31 @@ def deep_merge(a: dict, b: dict) -> dict:
     return a | {k: deep_merge(a[k], v) if isinstance(v, dict) and isinstance(a.get(k), dict) else v for k, v in b.items()}
 
 
+def merge_json(a: str | Column, b: str | Column) -> Column:
+    """Two JSON texts merged by ``deep_merge``, as text; where one is null or no object, the other.  Spark has no
+    such function: rows go to Python in Arrow batches."""
+    import pandas as pd
+
+    def one(x: str | None, y: str | None) -> str | None:
+        try:
+            left = json.loads(x) if x else None
+        except ValueError:
+            left = None
+        try:
+            right = json.loads(y) if y else None
+        except ValueError:
+            right = None
+        if not isinstance(left, dict) or not isinstance(right, dict):
+            return y if isinstance(right, dict) else x if isinstance(left, dict) else None
+        return json.dumps(deep_merge(left, right), separators=(",", ":"), ensure_ascii=False)
+
+    def merged(x, y):
+        return pd.Series([one(i, j) for i, j in zip(x, y, strict=True)], dtype=object)
+
+    merged.__annotations__ = {"x": pd.Series, "y": pd.Series, "return": pd.Series}
+    return F.pandas_udf(merged, "string")(a, b)
+
+
 _MARK = re.compile(r'\s+|#[^\n]*|"((?:[^"\\]|\\.)*)"|([{}\[\]:,])|([^\s{}\[\]:,#"]+)')
 
 
