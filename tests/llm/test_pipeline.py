@@ -108,7 +108,7 @@ def test_oracles(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in ("pages", "embeddings"):
+    for t in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DATA}/{t}.parquet'")
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

@@ -93,4 +93,18 @@ ORACLES: dict[str, str] = {
               FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 100 = 0),
         r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op10_suffix_array_dedup": """
+        WITH n AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        w AS (SELECT doc_id, h, unnest(range(1, n - 98)) AS i FROM n WHERE n >= 100),
+        x AS (SELECT doc_id, i, md5(substr(h, 2 * i - 1, 200)) AS k FROM w),
+        r AS (SELECT doc_id, i FROM x QUALIFY row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1),
+        s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS fresh FROM r),
+        g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+        runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 100 AS z FROM g GROUP BY 1, 2),
+        parts AS (SELECT doc_id, a, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 1) AS p FROM runs
+                  UNION ALL SELECT doc_id, n + 1, coalesce(max(z), 1) FROM n LEFT JOIN runs USING (doc_id) GROUP BY doc_id, n),
+        kept AS (SELECT doc_id, string_agg(substr(h, 2 * p - 1, 2 * (a - p)), '' ORDER BY a) AS k FROM parts JOIN n USING (doc_id) GROUP BY 1),
+        gone AS (SELECT doc_id, sum(z - a) AS removed, count(*) AS spans FROM runs GROUP BY 1)
+        SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans, sha256(unhex(k)) AS kept_sha256
+        FROM n JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)""",
 }
