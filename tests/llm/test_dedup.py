@@ -1,5 +1,6 @@
 """SimHash, suffix-array and embedding deduplication against brute force, and their edge cases."""
 
+import os
 import random
 
 import numpy as np
@@ -142,6 +143,46 @@ def test_near_duplicates_find_appended_and_truncated_copies(spark):
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(_docs(spark, rows)).collect()} == expected
 
 
+def test_near_duplicates_deal_shingles_of_possible_pairs_only(spark, monkeypatch):
+    """Unlike texts around rare passages are candidates; their shingles are neither written nor joined."""
+    rng, written = random.Random(29), {}
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(150)) + "".join(f" p{i // 4}-{j}" for j in range(60))) for i in range(40)]
+    rows += [(100, rows[0][1] + " end"), (101, rows[1][1] + " end")]
+    materialise = simhash.materialise
+
+    def noted(df, name, **more):
+        out = materialise(df, name, **more)
+        written.setdefault(name, []).append((out.count(), out._tidemark_path.removeprefix("file:")))
+        return out
+
+    monkeypatch.setattr(simhash, "materialise", noted)
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(_docs(spark, rows)).collect()}
+    assert got == {**{i: i for i in range(40)}, 100: 0, 101: 1}
+    assert written["near-stars"][0][0] + written["near-rest"][0][0] >= 20
+    assert sum(n for n, _ in written["shingles"]) <= 8
+    assert not any(os.path.exists(path) for name in ("shingles", "near-shared", "near-prefixes", "near-links") for _, path in written[name])
+
+
+def test_sketches_exclude_no_pair_that_reaches_the_similarity():
+    rng = np.random.default_rng(31)
+    for n in (1, 2, 40, 63, 64, 65, 500, 1030, 5000):
+        x = rng.integers(0, 2**64, n, dtype=np.uint64)
+        for kept, added in ((n, 0), (n, n // 4), (n - n // 6, 0), (n - n // 10, n // 10), (0, n)):
+            y = np.concatenate([x[:kept], rng.integers(0, 2**64, added, dtype=np.uint64)])
+            if len(y):
+                far = simhash.sketch_distance(simhash.sketch(x), simhash.sketch(y))
+                assert far == simhash.sketch_distance(simhash.sketch(y), simhash.sketch(x)) <= n - kept + added
+                assert n < 40 or kept or far > (n + added) / 9  # nothing in common: excluded
+
+
+def test_shared_entries_in_slices(spark):
+    rows = [(simhash._signed(g % 700 * 0x9E3779B97F4A7C15 & (1 << 64) - 1), g) for g in range(1000)]
+    entries = spark.createDataFrame(rows, "g long, doc_id long")
+    expected = sorted(r for r in rows if r[1] % 700 < 300)
+    for dealt in (10_000, 300, 90):
+        assert sorted(map(tuple, simhash.shared_entries(entries, dealt).collect())) == expected
+
+
 def test_near_duplicates_in_a_group_with_an_unlike_first(spark):
     rng = random.Random(23)
     words = [f"w{i}" for i in range(200)]

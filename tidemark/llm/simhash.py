@@ -29,6 +29,8 @@ BUCKET = BITS
 #: The order of shingles (and nothing else) rests on this many of the most frequent ones, counted in one of
 #: so many texts.
 FREQUENT, COUNTED = 1 << 16, 16
+#: Prefix entries that are dealt by their shingles at once; more are dealt one slice of the shingles after the other.
+DEALT = 1 << 26
 #: Bytes of a text whose words are held at once.
 PART = 1 << 20
 #: Hashes of words that are kept for further texts.
@@ -189,9 +191,45 @@ def shingles(text: bytes | None, words: int, hashes: _WordHashes) -> np.ndarray:
     return np.unique(_mixed(h, words))
 
 
-def shingle_similarity(pairs: DataFrame, docs: DataFrame, words: int = 5) -> DataFrame:
-    """``pairs`` (a, b; a written table) with ``similarity``: the Jaccard index of the two documents' distinct
-    word shingles.  A pair has a row for each text that its ids have."""
+def sketch(hashes: np.ndarray) -> bytes:
+    """The parities of the numbers of shingle hashes by their low bits, in as many bits as there are hashes, rounded up
+    to a power of two.  Two sketches differ in no more bits than the sets have members that the other lacks."""
+    bits = max(BITS, 1 << (len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def sketch_distance(x: bytes, y: bytes) -> int:
+    """The differing bits of two sketches, the longer one folded to the other's length."""
+    if len(x) < len(y):
+        x, y = y, x
+    v, bits = int.from_bytes(x, "little"), 8 * len(x)
+    while bits > 8 * len(y):
+        bits //= 2
+        v = (v >> bits) ^ (v & ((1 << bits) - 1))
+    return (v ^ int.from_bytes(y, "little")).bit_count()
+
+
+def possible_pairs(pairs: DataFrame, prints: DataFrame, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches in ``prints`` (doc_id, n, sketch) don't exclude ``similarity``: of sets
+    that reach it, at most (1 - s) / (1 + s) of both sizes together are members of one only."""
+    apart = (1 - similarity) / (1 + similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes = b.column(2).to_numpy() + b.column(3).to_numpy()
+            far = np.fromiter((sketch_distance(x.as_py(), y.as_py()) for x, y in zip(b.column(4), b.column(5), strict=True)), dtype=np.int64, count=b.num_rows)
+            yield b.select(["a", "b"]).filter(pa.array(far <= apart * sizes + 1e-6))
+
+    x = prints.select(F.col("doc_id").alias("a"), F.col("n").cast("long").alias("nx"), F.col("sketch").alias("x"))
+    y = prints.select(F.col("doc_id").alias("b"), F.col("n").cast("long").alias("ny"), F.col("sketch").alias("y"))
+    return map_arrow(pairs.join(x, "a").join(y, "b").select("a", "b", "nx", "ny", "x", "y"), run, "a long, b long").distinct()
+
+
+def similar_pairs(pairs: DataFrame, prints: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b; a written table) whose documents' distinct word shingles have a Jaccard index of at
+    least ``similarity``, for any two of the texts that their ids have.  Sketches leave out what can't reach it, so
+    shingles are written and dealt for few other pairs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -200,12 +238,19 @@ def shingle_similarity(pairs: DataFrame, docs: DataFrame, words: int = 5) -> Dat
                 out = [shingles(t.as_py(), words, hashes).view("<i8") for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "grams"])
 
-    wanted = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "near-wanted")
+    close = materialise(possible_pairs(pairs, prints, similarity), "near-possible")
+    wanted = materialise(close.select(F.col("a").alias("doc_id")).union(close.select(F.col("b").alias("doc_id"))).distinct(), "near-wanted")
     texts = join_keys(docs.select("doc_id", F.col("text").cast("binary").alias("text")), wanted, "doc_id", "left_semi")
     grams = materialise(map_arrow(texts, run, "doc_id long, grams array<long>"), "shingles")
-    both = pairs.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
+    release(docs.sparkSession)
+    both = close.join(grams.select(F.col("doc_id").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("doc_id").alias("b"), F.col("grams").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity"))
+    linked = both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).where(F.col("similarity") >= similarity)
+    linked = materialise(linked.select("a", "b"), "near-links")
+    for done in (close, wanted, grams):
+        forget(done)
+    release(docs.sparkSession)
+    return linked
 
 
 def _parts(arrays: Iterable[np.ndarray], size: int = 1 << 18) -> Iterator[list[np.ndarray]]:
@@ -251,13 +296,14 @@ def _majority(hashes: np.ndarray) -> int:
 def shared_prefixes(texts: DataFrame, words: int, similarity: float) -> tuple[DataFrame, DataFrame]:
     """For ``texts`` (sha, doc_id, text) in one pass: (g, doc_id, n, at), the shingles of each document's prefix
     that stand in another's prefix too, the number of its shingles, and how many come before this one in the
-    global order; and (doc_id, fp), the SimHash of all its shingles."""
+    global order; and (doc_id, fp, n, sketch), the SimHash, number and sketch of all its shingles."""
     frequent, level = frequent_shingles(texts, words)
 
-    def prefix(text: bytes | None, hashes: _WordHashes, sizes: list[int], prints: list[int]) -> np.ndarray:
+    def prefix(text: bytes | None, hashes: _WordHashes, sizes: list[int], prints: list[int], sketches: list[bytes]) -> np.ndarray:
         g = shingles(text, words, hashes)
         sizes.append(len(g))
         prints.append(_majority(g))
+        sketches.append(sketch(g))
         if len(frequent):
             near = np.minimum(np.searchsorted(frequent, g), len(frequent) - 1)
             g = g[np.argsort(np.where(frequent[near] == g, level[near], 0), kind="stable")]
@@ -265,29 +311,39 @@ def shared_prefixes(texts: DataFrame, words: int, similarity: float) -> tuple[Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hashes, sizes, prints, done = _WordHashes(), [], [], 0
-            for part in _parts(prefix(t.as_py(), hashes, sizes, prints) for t in b.column(1)):
+            hashes, sizes, prints, sketches, done = _WordHashes(), [], [], [], 0
+            for part in _parts(prefix(t.as_py(), hashes, sizes, prints, sketches) for t in b.column(1)):
                 here = slice(done, done + len(part))
                 k, n, of = np.array([len(g) for g in part]), np.array(sizes[here], dtype=np.int32), np.arange(done, done + len(part))
                 done += len(part)
-                # before the entries one row for each document: its fingerprint, at place -1
+                # before the entries one row for each document: its fingerprint and sketch, at place -1
                 at = np.concatenate([np.full(len(part), -1, dtype=np.int32), *(np.arange(i, dtype=np.int32) for i in k)])
                 g = np.concatenate([np.array(prints[here], dtype=np.int64), *(x.view("<i8") for x in part)])
                 ids = b.column(0).take(pa.array(np.concatenate([of, np.repeat(of, k)])))
-                yield pa.RecordBatch.from_arrays([pa.array(g), ids, pa.array(np.concatenate([n, np.repeat(n, k)])), pa.array(at)], names=["g", "doc_id", "n", "at"])
-
-    entries = materialise(map_arrow(texts.select("doc_id", "text"), run, "g long, doc_id long, n int, at int"), "near-prefixes")
-    prints = materialise(entries.where("at < 0").select("doc_id", F.col("g").alias("fp")).distinct(), "near-prints")
-    entries_of = entries.where("at >= 0")
-    again = materialise(entries_of.groupBy("g").agg(F.count("*").alias("docs")).where("docs > 1").select("g"), "near-again")
-    release(entries.sparkSession)
-    met = materialise(entries_of.join(again, "g"), "near-shared")
+                told = pa.concat_arrays([pa.array(sketches[here], pa.binary()), pa.nulls(int(k.sum()), pa.binary())])
+                yield pa.RecordBatch.from_arrays([pa.array(g), ids, pa.array(np.concatenate([n, np.repeat(n, k)])), pa.array(at), told], names=["g", "doc_id", "n", "at", "sketch"])
+
+    entries = materialise(map_arrow(texts.select("doc_id", "text"), run, "g long, doc_id long, n int, at int, sketch binary"), "near-prefixes")
+    prints = materialise(entries.where("at < 0").select("doc_id", F.col("g").alias("fp"), "n", "sketch").distinct(), "near-prints")
+    met = shared_entries(entries.where("at >= 0").select("g", "doc_id", "n", "at"))
     forget(entries)
-    forget(again)
-    release(met.sparkSession)
     return met, prints
 
 
+def shared_entries(entries: DataFrame, dealt: int = DEALT) -> DataFrame:
+    """The rows of ``entries`` (g, ...; read from a table) whose g recurs.  About ``dealt`` of them are dealt at a time,
+    so that the disk that this takes besides its result is bounded."""
+    parts, met = max(1, -(-entries.count() // dealt)), None
+    for k in range(parts):
+        some = entries.where(F.pmod("g", F.lit(parts)) == k) if parts > 1 else entries
+        again = materialise(some.groupBy("g").agg(F.count("*").alias("docs")).where("docs > 1").select("g"), "near-again")
+        release(entries.sparkSession)
+        met = materialise(some.join(again, "g"), "near-shared", onto=met)
+        forget(again)
+        release(entries.sparkSession)
+    return met
+
+
 def _may_reach(similarity: float) -> Column:
     """Of two prefix entries x, y with the same shingle: whether the sizes, and what is left after the shingle,
     allow ``similarity``, if it is the first that the documents share."""
@@ -300,6 +356,7 @@ def simhash_candidates(prints: DataFrame) -> DataFrame:
     """(a, b): documents of ``prints`` (doc_id, fp) whose fingerprints are equal, or differ in two bits or
     fewer, each through the smallest document of its fingerprint."""
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")).withColumn("nth", F.lit(0)), "near-classes")
+    release(prints.sparkSession)
     equal = prints.join(classes, "fp").where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     return equal.union(hamming_edges(classes).select(F.least("a", "b"), F.greatest("a", "b")))
 
@@ -326,8 +383,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     a, b = F.col("x.doc_id"), F.col("y.doc_id")
     stars = x.join(y, (F.col("x.g") == F.col("y.g")) & (a != b) & _may_reach(similarity)).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     stars = materialise(stars.union(simhash_candidates(prints)).distinct(), "near-stars")
-    linked = materialise(shingle_similarity(stars, docs, words).where(F.col("similarity") >= similarity).select("a", "b"), "near-links")
     release(docs.sparkSession)
+    linked = similar_pairs(stars, prints, docs, words, similarity)
     roots = connected_components(linked)
     named = materialise(met.join(roots, met.doc_id == roots.node, "left").select("g", "doc_id", "n", "at", F.coalesce("root", "doc_id").alias("root")), "near-roots")
     mixed = named.groupBy("g").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("g")
@@ -336,11 +393,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     apart = (a < b) & (F.col("x.root") != F.col("y.root"))
     rest = x.join(y, (F.col("x.g") == F.col("y.g")) & apart & _may_reach(similarity)).select(a.alias("a"), b.alias("b")).distinct()
     rest = materialise(rest.join(stars, ["a", "b"], "left_anti"), "near-rest")
-    for done in (met, named, open_):
+    for done in (met, named, open_, stars):
         forget(done)
     release(docs.sparkSession)
-    more = shingle_similarity(rest, docs, words).where(F.col("similarity") >= similarity).select("a", "b")
+    more = similar_pairs(rest, prints, docs, words, similarity)
+    for done in (rest, prints):
+        forget(done)
     roots = connected_components(linked.union(more))
+    for done in (linked, more):
+        forget(done)
     release(docs.sparkSession)
     named = reps.join(roots, reps.doc_id == roots.node, "left").select("sha", F.coalesce("root", "doc_id").alias("component_id"))
     return ids.join(named, "sha", "left").select("doc_id", "component_id").dropDuplicates(["doc_id"])
