@@ -268,6 +268,24 @@ def test_votes_by_brute_force():
     assert again == pytest.approx(got, abs=1e-3)  # no order of the sample decides
 
 
+def test_model_takes_little_memory_and_is_that_of_the_whole_sample():
+    import tracemalloc
+
+    rng = np.random.default_rng(9)
+    features = np.sqrt(rng.random((3000, quality.TERMS), dtype=np.float32) * (rng.random((3000, quality.TERMS)) < 0.1)).astype("<f4")
+    features[:, :8] *= np.arange(9, 1, -1, dtype=np.float32) * rng.integers(1, 9, (3000, 1))
+    tracemalloc.start()
+    model = quality.Model(features, np.arange(3000) % 2, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4 * features.nbytes
+    x = features * (np.log(3001 / (1 + (features > 0).sum(axis=0))) + 0.1)
+    x -= x.mean(axis=0)
+    v = x @ np.linalg.eigh(x.T @ x)[1][:, ::-1][:, :4]
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    assert np.abs(model.points @ model.points[:50].T - v @ v[:50].T).max() < 1e-3
+
+
 def test_terms_in_parts(monkeypatch):
     text = b"Aa bb bb cc aa, 12\nAa bb bb cc aa, 12\n\nx" * 40
     whole = quality.terms(text)

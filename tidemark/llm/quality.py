@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import map_arrow, slices
+from tidemark.llm.common import map_arrow, release, slices
 
 #: Labelled rows of each class in the sample (those least by a hash of their id).
 SAMPLE = 2000
@@ -38,6 +38,8 @@ for _i, _c in enumerate("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
     _CLASS[ord(_c)] = 6 + _i
 CLASSES = 38
 TERMS = CLASSES * CLASSES + 4
+#: Rows of the sample that the driver weighs at once.
+ROWS = 256
 #: Bytes of a text looked at at once; a text of any length takes memory for so many, and eight bytes a line.
 PART = 1 << 18
 _WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -80,18 +82,23 @@ def terms(text: bytes | None) -> np.ndarray:
 
 class Model:
     def __init__(self, features: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS):
-        """``features``: rows of ``terms``; ``labels``: 0 or 1."""
+        """``features``: rows of ``terms``; ``labels``: 0 or 1.  Some rows are worked on at a time."""
         n = len(features)
         self.labels = labels.astype(float)
         self.idf = np.log((1 + n) / (1 + (features > 0).sum(axis=0))) + 0.1
         if n:
-            x = features * self.idf
-            self.mean = x.mean(axis=0)
-            _, vectors = np.linalg.eigh((x - self.mean).T @ (x - self.mean))
+            self.mean = features.mean(axis=0, dtype=float) * self.idf
+            spread, part = np.zeros((features.shape[1], features.shape[1])), np.empty((features.shape[1], features.shape[1]))
+            for at in range(0, n, ROWS):
+                x = features[at : at + ROWS] * self.idf - self.mean
+                spread += np.matmul(x.T, x, out=part)
+            del part
+            _, vectors = np.linalg.eigh(spread)
             self.axes = vectors[:, ::-1][:, :dimensions].astype(np.float32)
+            del spread, vectors
         else:
             self.mean, self.axes = np.zeros(features.shape[1]), np.zeros((features.shape[1], dimensions), np.float32)
-        self.points = self.project(features)
+        self.points = np.concatenate([self.project(features[at : at + ROWS]) for at in range(0, max(n, 1), ROWS)])
 
     def project(self, features: np.ndarray) -> np.ndarray:
         v = ((features * self.idf - self.mean) @ self.axes).astype(np.float32)
@@ -135,9 +142,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary()), b.column(2)], names=["doc_id", "terms", "y"])
 
     texts = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = map_arrow(texts, run, "doc_id long, terms binary, y int").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
-    features = np.array([np.frombuffer(x, dtype="<f4") for x in rows["terms"]], dtype=float).reshape(len(rows), TERMS)
-    return Model(features, rows["y"].to_numpy())
+    release(docs.sparkSession)  # the driver has the least to hold when the sample comes
+    rows = map_arrow(texts, run, "doc_id long, terms binary, y int").dropDuplicates(["doc_id"]).toArrow()
+    order = np.argsort(rows.column("doc_id").to_numpy())
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    features = np.empty((len(order), TERMS), dtype="<f4")
+    for i, x in zip(place, rows.column("terms"), strict=True):
+        features[i] = np.frombuffer(x.as_buffer(), dtype="<f4")
+    labels = rows.column("y").to_numpy()[order]
+    del rows
+    return Model(features, labels)
 
 
 def score(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",), at_least: float | None = None) -> DataFrame:
