@@ -3,8 +3,9 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from tidemark.operators import lookup
+from tidemark.operators import lookup, theta
 
 DATES = [20191010, 20191110, 20191210, 20200110, 20200210, 20200310, 20200310, 20210315, 20210320, 20210320, 20210410, 20210410]
 TIMES = [1630087372600, 1630087572600, 1630087672600, 1630187272600, 1630187372600, 1630187372600, 1630187572600, 1630287372600, 1630287372600, 1630287372600, 1630288372600, 1630288372600]
@@ -78,3 +79,15 @@ def test_positions_and_projection(spark):
     assert lookup.project(t, "a.1,pos").columns == ["a_1", "pos"]
     with pytest.raises(ValueError, match="unknown field"):
         lookup.project(t, "nothing")
+
+
+def test_grid_join_deals_a_key_over_tasks(spark):
+    left = spark.range(3000).select(F.col("id").alias("a"), F.when(F.col("id") % 50 > 1, 1).when(F.col("id") % 50 > 0, F.col("id") % 7).alias("k"), (F.col("id") * 37 % 101).alias("x"))
+    right = spark.range(400).select(F.col("id").alias("b"), F.when(F.col("id") % 20 > 1, 1).when(F.col("id") % 20 > 0, F.col("id") % 11).alias("m"), (F.col("id") * 53 % 97).alias("y"))
+    repeated = right.unionAll(right.where("b < 60"))
+    met = theta.grid_join(left, repeated, "k", "m", F.col("x") > F.col("y"), block=(100, 40))
+    plain = left.join(repeated, (F.col("k") == F.col("m")) & (F.col("x") > F.col("y")))
+    assert met.columns == plain.columns and sorted(map(tuple, met.collect())) == sorted(map(tuple, plain.collect()))
+    of_task = [r["count"] for r in met.where("k = 1").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(of_task) > 100 and max(of_task) < sum(of_task) / 20  # an equal hash would put the key into one task
+    assert theta.grid_join(left, right.limit(0), "k", "m", F.col("x") > F.col("y")).count() == 0

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import numeric, strings, timeconv
-from tidemark.operators import asof, buckets, lookup, match, predicates, rolling, series, write
+from tidemark.operators import asof, buckets, lookup, match, predicates, rolling, series, theta, write
 from tidemark.plans import partitions
 from tidemark.plans.schema import convert, parse
 from tidemark.sources import binary, text
@@ -1372,8 +1372,10 @@ for _how, _sql, _cols in (("inner", "JOIN", "c_custkey, o_orderkey"), ("left", "
 
 @query("SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND c_acctbal > s_acctbal")
 def x_join_theta(spark, d):
-    c, s = table(spark, d, "customer"), table(spark, d, "supplier")
-    return c.join(s, (c.c_nationkey == s.s_nationkey) & (c.c_acctbal > s.s_acctbal)).select("c_custkey", "s_suppkey")
+    """A nation's pairs are dealt over many tasks."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    return theta.grid_join(c, s, "c_nationkey", "s_nationkey", F.col("c_acctbal") > F.col("s_acctbal")).select("c_custkey", "s_suppkey")
 
 
 def _grouped(kind: str, sql_kind: str):
