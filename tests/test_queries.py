@@ -44,3 +44,13 @@ def test_query(spark, duck, name):
     columns = [c[0] for c in found.description]
     assert sorted(columns) == sorted(df.columns)
     assert _rows(df.columns, rows) == _rows(columns, found.fetchall())
+
+
+def test_sketches_are_kept_by_type_only(spark, tmp_path):
+    rows = spark.createDataFrame([(t, u) for t in ("a", "b", None) for u in (*range(300), *range(0, 300, 3), None)] + [("c", None)], "event_type string, user_id long")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    df = queries.QUERIES["x_approx_distinct"](spark, str(tmp_path))
+    assert {r.event_type: r.near for r in df.collect()} == {"a": True, "b": True, "c": True, None: True}
+    plan = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    sketched = [line for line in plan if "approx_count_distinct" in line]
+    assert sketched and not [line for line in sketched if "user_id" in line.partition("functions=")[0]]

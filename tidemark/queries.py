@@ -1415,8 +1415,11 @@ def x_union_all(spark, d):
 
 @query("SELECT event_type, true AS near FROM events GROUP BY 1")
 def x_approx_distinct(spark, d):
-    """The estimate lies within three times its error of the exact count."""
-    g = table(spark, d, "events").groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.countDistinct("user_id").alias("exact"))
+    """The estimate lies within three times its error of the exact count.
+
+    Repeats change neither, so both are taken of the distinct pairs: beside a distinct count of the rows, Spark
+    would keep a sketch for each pair of type and user."""
+    g = table(spark, d, "events").select("event_type", "user_id").distinct().groupBy("event_type").agg(F.approx_count_distinct("user_id", 0.02).alias("about"), F.count("user_id").alias("exact"))
     return g.select("event_type", (F.abs(F.col("about") - F.col("exact")) <= 0.06 * F.col("exact") + 1).alias("near"))
 
 
