@@ -107,6 +107,19 @@ def test_fan_out(spark):
     assert "NestedLoop" not in out._jdf.queryExecution().executedPlan().toString()
 
 
+def test_fan_out_does_not_gather_rows_by_prefix(spark, tmp_path):
+    spark.range(4000).select(F.col("id").alias("v"), F.concat(F.lit("a"), (F.col("id") % 3).cast("string")).alias("key")).write.parquet(f"file://{tmp_path}/rows")
+    rows, told = spark.read.parquet(f"file://{tmp_path}/rows"), spark.createDataFrame([("p", "*"), ("q", "A"), ("r", "a2"), ("s", "b")], "who string, pattern string")
+    few = match.fan_out(rows, "key", told)
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert "BuildRight" in plan and "BuildLeft" not in plan and "hashpartitioning" not in plan  # rows stay where they are
+    many = match.fan_out(rows, "key", told, few=2)
+    assert few.columns == many.columns and sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    assert few.groupBy("who").count().orderBy("who").collect() == [("p", 4000), ("q", 4000), ("r", 1333)]
+    shares = [line for line in many._jdf.queryExecution().executedPlan().toString().splitlines() if "Join" in line]
+    assert shares and all("__s" in line for line in shares)
+
+
 def test_picking_tree(spark):
     df = spark.range(20).select(F.col("id").cast("int").alias("i"))
     methods = {"least": lambda d, a: d.orderBy("i").limit(a["n"]), "most": lambda d, a: d.orderBy(F.desc("i")).limit(a["n"]), "even": lambda d, a: d.where("i % 2 = 0")}

@@ -8,6 +8,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: So many patterns are broadcast; with more, rows that share a beginning are dealt into so many shares.
+FEW_PATTERNS, SHARES = 1 << 16, 64
+
 
 def tokens(patterns: str) -> list[str]:
     return [t.strip().lower() for t in patterns.split(",") if t.strip()]
@@ -40,17 +43,23 @@ def subject_filter(key: Column, table: Column, keys: str = "*", tables: str = "*
     return k & (F.lit(True) if tables == "*" else in_list(table, tables))
 
 
-def fan_out(rows: DataFrame, key: str, patterns: DataFrame, pattern: str = "pattern") -> DataFrame:
+def fan_out(rows: DataFrame, key: str, patterns: DataFrame, pattern: str = "pattern", few: int = FEW_PATTERNS) -> DataFrame:
     """Each row once for each subscriber whose pattern (a prefix, or '*') its key matches.
 
     Patterns are few and short against the rows: a row is listed under those beginnings of its key that are as
-    long as some pattern, and joined on them, so no row meets a pattern that it doesn't match."""
+    long as some pattern, and joined on them, so no row meets a pattern that it doesn't match.  Up to ``few``
+    patterns are broadcast, and the rows stay where they are; beyond that each pattern has ``SHARES`` copies and
+    each row goes to one, as most rows can share a beginning ('*' is one that all have)."""
     p = F.lower(F.col(pattern))
     told = patterns.withColumn("__p", F.when(p == "*", "").otherwise(p)).where("__p is not null")
-    lengths = [x[0] for x in told.select(F.length("__p")).distinct().collect()]  # as many as a key has letters
+    lengths = {x[0]: x[1] for x in told.groupBy(F.length("__p")).count().collect()}  # as many as a key has letters
     k = F.lower(F.col(key))
     starts = F.array_distinct(F.array(*[F.when(F.length(k) >= n, F.left(k, F.lit(n))) for n in lengths])) if lengths else F.array().cast("array<string>")
-    return rows.withColumn("__p", F.explode(starts)).join(told, "__p").drop("__p")
+    listed = rows.withColumn("__p", F.explode(starts))
+    if sum(lengths.values()) <= few:
+        return listed.join(F.broadcast(told), "__p").drop("__p")
+    share = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if "map<" not in kind]), F.lit(SHARES))
+    return listed.withColumn("__s", share).join(told.withColumn("__s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SHARES - 1).cast("long")))), ["__p", "__s"]).drop("__p", "__s")
 
 
 def union_distinct(a: DataFrame, b: DataFrame) -> DataFrame:
