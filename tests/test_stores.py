@@ -1,7 +1,9 @@
 """Stores, logs, streams in batches, picking trees, binary rows, schedules."""
 
+import struct
 from datetime import datetime
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,6 +146,25 @@ def test_binary_rows(spark):
     assert binary.formatted(rows, "csv", parse("u", {"fields": {"a": ["I", 2], "c": ["C", 3]}})).where("id = 1").first().value == "7,xyz"
 
 
+def test_binary_rows_are_worked_on_together(spark, monkeypatch):
+    t = parse("t", {"fields": {"a": ["I", 4], "c": ["C", 3], "x": ["F", 8, 2]}})
+    told = [(i, ("x", "yé", "four", "", "é" * 2, "a\0b")[i % 6], [i / 2, -1.0]) for i in range(3000)]
+    rows = spark.createDataFrame(told, "a int, c string, x array<double>").coalesce(1)
+    raw = [bytes(r.bytes) for r in binary.rows_to_bytes(rows, t).collect()]
+    assert raw == [struct.pack("<i3sdd", a, c.encode()[:3], *x) for a, c, x in told] and len(raw[0]) == 23
+    held = [raw[0], None, b"", raw[1] + raw[2], raw[3][:-1], *raw[3:], raw[0][:4] + b"\xff\xc3z" + raw[0][7:]]  # two aren't whole records, one isn't UTF-8
+    text = lambda c: c.encode()[:3].decode("utf-8", "ignore")
+    want = [(a, text(c), x) for a, c, x in told] + [(0, "z", [0.0, -1.0])]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(held)], "n long, bytes binary").coalesce(1)
+    back = sorted(binary.rows_from_bytes(df, "bytes", t).collect(), key=lambda r: r.n)
+    assert [(r.a, r.c, r.x) for r in back] == want and [r.n for r in back] == [0, 3, 3, *range(5, len(held))]
+    monkeypatch.setattr(binary, "SLICE", 1 << 14, raising=False)
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: run)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(held))), pa.array(held, pa.binary())], names=["n", "bytes"])
+    out = list(binary.rows_from_bytes(df, "bytes", t)(iter([batch])))
+    assert [(r["a"], r["c"], r["x"]) for b in out for r in b.to_pylist()] == want and 1 < len(out) < 12  # not a batch for each value
+
+
 def test_days_and_segments(spark, tmp_path):
     path = f"file://{tmp_path}/d"
     rows = spark.createDataFrame([(i, datetime(2024, 1, 5 + i // 4, 6 * (i % 4))) for i in range(16)], "i int, t timestamp")  # Friday to Monday
