@@ -19,14 +19,17 @@ def grid_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
     key's pairs take as many tasks as they fill, and a task holds one block of the right at a time."""
     count = lambda df, key, n: df.groupBy(F.col(key).alias("__k")).agg(F.count("*").alias(n)).where("__k is not null")
     sizes = count(left, left_key, "__l").join(count(right, right_key, "__r"), "__k", "full").na.fill(0, ["__l", "__r"])
-    many = sizes.where((F.col("__l") > block[0]) | (F.col("__r") > block[1])).select("__k", *[F.ceil(F.col(n) / b).cast("int").alias(to) for n, b, to in (("__l", block[0], "__a"), ("__r", block[1], "__b"))])
-    work = F.sum(F.col("__l").cast("double") * F.col("__r")) / min(TASK_PAIRS, block[0] * block[1]) + F.sum(F.col("__l") + F.col("__r")) / TASK_ROWS
-    tasks = min(MOST_TASKS, int(sizes.agg(work).first()[0] or 0) + 1)
+    sizes = sizes.withColumns({"__a": F.ceil(F.col("__l") / block[0]).cast("int"), "__b": F.ceil(F.col("__r") / block[1]).cast("int")})
+    many = sizes.where("__a > 1 or __b > 1").select("__k", "__a", "__b")
+    pairs, copies = (x or 0 for x in sizes.selectExpr("sum(double(__l) * __r)", "sum(double(__l) * __b + double(__r) * __a)").first())
+    spread = min(MOST_TASKS, int(copies / TASK_ROWS) + 1)
+    tasks = min(MOST_TASKS, int(pairs / min(TASK_PAIRS, block[0] * block[1])) + spread)
     told = F.broadcast(many) if many.count() <= FEW_KEYS else many
 
     def dealt(df: DataFrame, key: str, own: str, own_n: str, other: str, other_n: str) -> DataFrame:
         blocks = df.withColumn("__k", F.col(key)).where("__k is not null").join(told, "__k", "left").where(f"coalesce({other_n}, 1) > 0")
         blocks = blocks.withColumn(own, F.pmod(F.xxhash64(*df.columns), F.coalesce(own_n, F.lit(1))).cast("int"))
+        blocks = blocks.repartition(spread, "__k", own) if spread > 1 else blocks  # a file's rows can have many copies
         return blocks.withColumn(other, F.explode(F.sequence(F.lit(0), F.coalesce(other_n, F.lit(1)) - 1))).drop("__a", "__b").repartition(tasks, "__k", "__i", "__j")
 
     a, b = dealt(left, left_key, "__i", "__a", "__j", "__b"), dealt(right, right_key, "__j", "__b", "__i", "__a")
